@@ -189,12 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         if labels is None:
             first = active.join(shared, "h").where("rep = lead").select("h", F.col("rep").alias("p"), F.col("n").alias("pn")).distinct()
-            pairs = active.join(first, "h").where("rep <> p")
+            pairs = active.join(first, "h").where("rep <> p and 100 * least(n, pn) >= 75 * greatest(n, pn)")
         else:
             order = Window.partitionBy("h").orderBy("rep")
-            first = ws.stage(active.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots).select("h", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")), "pivots")
-            pairs = active.join(first, "h").where("rep <> p and label <> pl")
-        pairs = pairs.where("100 * least(n, pn) >= 75 * greatest(n, pn)")
+            first = active.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
+            first = ws.stage(first.select("h", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("pl")), "pivots")
+            pairs = active.join(first, "h").where("rep <> p and label <> pl and 100 * least(m, pm) >= 75 * (n + pn - least(m, pm))")
         pairs = ws.stage(pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "pairs")
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -203,12 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = edge_tables[0]
         for t in edge_tables[1:]:
             joined = joined.union(t)
+        again = labels is not None
         labels = components(ws, joined)
-        used = first.select("h", F.col("p").alias("rep"))
-        left = active.select("h", "rep", "n").join(used, ["h", "rep"], "left_anti").join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        left = ws.stage(left, "left")
-        mixed = left.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-        active = ws.stage(left.join(ws.stage(mixed, "mixed"), "h").select("h", "rep", "n", "label"), "buckets")
+        rest = active.join(first.select("h", F.col("p").alias("rep")), ["h", "rep"], "left_anti").drop("label")
+        rest = rest.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        active = _unsettled(ws, ws.stage(rest, "rest"))
+        if not again and active.count():
+            active = _unsettled(ws, _bounded(ws, active, sets, edges))
         if not active.count():
             break
         pivots *= 4
@@ -225,6 +226,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _unsettled(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The rows in buckets that hold more than one component."""
+    mixed = ws.stage(rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h"), "mixed")
+    return ws.stage(rows.join(mixed, "h"), "unsettled")
+
+
+def _bounded(ws: Workspace, rows: DataFrame, sets: DataFrame, same_id: DataFrame) -> DataFrame:
+    """Rows with m, the shingles that another unsettled document has, less those that can't have a link.
+
+    A link of sets of n and n' shingles needs a common part of at most min(m, m'), which bounds its
+    similarity by min(m, m') / (n + n' - min(m, m')). Near copies of one text that differ too much from
+    each other each have many shingles of their own, so this settles them without comparing them.
+    """
+    nodes = rows.select(F.col("rep").alias("node")).distinct()
+    spelled = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    own = spelled.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    own = ws.stage(own.join(same_id.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "own-shingles")
+    least = ws.stage(rows.groupBy("h").agg(F.min("n").alias("least")), "least")
+    out = rows.join(own.toDF("rep", "own"), "rep", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).join(least, "h")
+    return ws.stage(out.where("100 * m >= 75 * (n + greatest(least - m, 0))").select("h", "rep", "n", "label", "m"), "bounded")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one document of each group, the one with the smallest doc_id.
 
