@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, piece_codec, token_files
+from . import decontamination, minhash, piece_codec, quality, token_files
 from ._common import table
 
 
@@ -30,11 +30,16 @@ def op8_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_huffman_token_files": op8_huffman_token_files,
+    "op9_kneser_ney_quality": op9_kneser_ney_quality,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
