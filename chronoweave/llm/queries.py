@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, piece_codec, quality, token_files
+from . import decontamination, line_dedup, minhash, piece_codec, quality, token_files
 from ._common import table
 
 
@@ -12,6 +12,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -36,6 +40,7 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_huffman_token_files": op8_huffman_token_files,
@@ -59,6 +64,17 @@ c AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
        s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
 FROM s LEFT JOIN c ON s.doc_id = c.doc_id""",
+    "op3_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, pos, x[pos] AS line, len(regexp_extract_all(x[pos], '[^ \\t\\r\\f]+')) AS w FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS pos FROM d)),
+s AS (SELECT doc_id, pos, line, w, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+runs AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.w + 50 GROUP BY 1, 2
+         UNION
+         SELECT b.doc_id, max(a.pos), b.pos FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND a.upto - a.w <= b.upto - 50 GROUP BY 1, 3),
+c AS (SELECT r.doc_id, s, e, row_number() OVER (PARTITION BY array_to_string(x[s:e], chr(10)) ORDER BY r.doc_id, s) AS i FROM runs r JOIN d ON r.doc_id = d.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM c WHERE i > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text
+FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY 1""",
     "op5_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
