@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, minhash, piece_codec, quality, token_files
+from . import decontamination, line_dedup, minhash, pii, piece_codec, quality, token_files
 from ._common import table
 
 
@@ -30,6 +30,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_pii_spans": op7_pii_spans,
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
 }
