@@ -150,7 +150,7 @@ def labelled(spark: SparkSession, seed: int, rows: int = LABELLED) -> DataFrame:
     bad_email = f"concat({pick(28, 'look', 'meet', 'arrive', 'stay')}, ' at ', {pick(29, 'home', 'dawn', 'noon')}, {pick(30, ' dot ', '.')}, {pick(31, 'the', 'and', 'then')})"
     bad_ip = f"element_at(array(concat_ws('.', {n(32, 1)}, {n(33, 1)}, {n(34, 3)}, 300 + {n(35, 2)}), concat_ws(':', {n(36, 2)}, {n(37, 2)}, {n(38, 2)}, {n(39, 2)})), int(pmod(id div 8, 2) + 1))"
     bad_card = f"concat_ws({sep}, {n(40, 4)}, {n(41, 4)}, {n(42, 4)}, {n(43, 4)})"
-    bad_phone = f"element_at(array(concat('20', {n(44, 2)}, '-', {n(45, 2)}, '-', {n(46, 2)}), concat({n(47, 8)}), concat({n(48, 4)}, ' ', {n(49, 5)}), concat('978-', {n(50, 1)}, '-', {n(51, 4)}, '-', {n(52, 4)}, '-', {n(53, 1)})), {n(62, 14)}, concat({n(63, 8)}, {n(64, 8)}), concat_ws(' ', {n(65, 1)}, {n(66, 1)}, {n(67, 1)}, {n(68, 2)}, {n(69, 1)}, {n(70, 1)}, {n(71, 1)}), concat_ws('.', {n(72, 2)}, {n(73, 3)}, {n(74, 3)}, {n(75, 2)})), int(pmod(id div 8, 8) + 1))"
+    bad_phone = f"element_at(array(concat('20', {n(44, 2)}, '-', {n(45, 2)}, '-', {n(46, 2)}), concat({n(47, 8)}), concat({n(48, 4)}, ' ', {n(49, 5)}), concat('978-', {n(50, 1)}, '-', {n(51, 4)}, '-', {n(52, 4)}, '-', {n(53, 1)}), {n(62, 14)}, concat({n(63, 8)}, {n(64, 8)}), concat_ws(' ', {n(65, 1)}, {n(66, 1)}, {n(67, 1)}, {n(68, 2)}, {n(69, 1)}, {n(70, 1)}, {n(71, 1)}), concat_ws('.', {n(72, 2)}, {n(73, 3)}, {n(74, 3)}, {n(75, 2)})), int(pmod(id div 8, 8) + 1))"
     bad = f"element_at(array({bad_email}, {bad_ip}, {bad_card}, {bad_phone}), int(kind + 1))"
     cue = f"element_at(array({pick(54, 'mail me: ', 'contact ', 'write to ')}, {pick(55, 'from host ', 'ip ', 'server ')}, {pick(56, 'visa ', 'credit card ', 'card no. ')}, {pick(57, 'call ', 'tel. ', 'phone: ')}), int(kind + 1))"
     none = pick(58, "order ", "ref ", "the ", "and ", "version ", "see ", "invoice no ", "of ")
