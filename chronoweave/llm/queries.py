@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, minhash, pii, piece_codec, quality, token_files
+from . import chat, decontamination, line_dedup, minhash, pii, piece_codec, quality, token_files
 from ._common import table
 
 
@@ -12,6 +12,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat.format_and_read(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_prefix_target_chat": op2_prefix_target_chat,
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
