@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, line_dedup, minhash, pii, piece_codec, quality, token_files
+from . import ann, chat, decontamination, line_dedup, minhash, pii, piece_codec, quality, token_files
 from ._common import table
 
 
@@ -35,6 +35,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
+def op6_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_forest_neighbours": op6_forest_neighbours,
     "op7_pii_spans": op7_pii_spans,
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
