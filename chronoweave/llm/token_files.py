@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ STEP = 256
 MAX_BITS = 16
 BLOCK_BYTES = 1 << 20
 #: Chunks that a worker remembers the ids of; when there are more, it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -59,6 +60,11 @@ class Encoder:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.newline = self._plain(["\n"])[0]
         self.first, self.inner = {}, {}
+        # how the byte-level pre-tokenizer writes bytes: printable ones as themselves, others from U+0100 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        moved = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.spelled = [chr(moved.get(b, b)) for b in range(256)]
+        self.tails = dict(zip(["", ".", ","], self._plain(["", ".", ","]), strict=True))
         probe = "a b\nc d,e f"
         self.cuts = self._plain([probe])[0] == b"".join(self._plain(["a", " b", "\n", "c", " d,e", " f"]))
 
@@ -66,18 +72,30 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str], known: dict, lead: str) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
+        """A word of letters is one pre-token, which the library's model takes as it is; the rest goes through the whole library."""
+        model, spell, tails = self.tokenizer.model.tokenize, self.spelled.__getitem__, self.tails
+        kind, space = np.dtype(self.kind).char, "".join(map(spell, lead.encode()))
+        rest = []
+        for w in missing:
+            body = w if w.isalpha() else w[:-1]
+            tail = "" if w.isalpha() else w[-1:]
+            if tail in tails and body.isalpha():
+                ids = known.get(body) if tail else None
+                if ids is None:
+                    shown = space + (body if body.isascii() else "".join(map(spell, body.encode())))
+                    ids = known[body] = array(kind, [t.id for t in model(shown)]).tobytes()
+                known[w] = ids + tails[tail]
+            else:
+                rest.append(w)
         mark = int(np.frombuffer(self.newline, self.kind)[0])
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
             joined = [lead + f"\n{lead}".join(some[j : j + 64]) for j in range(0, len(some), 64)]
             out = []
             for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
                 ids = np.array(e.ids, self.kind)
-                cut = np.flatnonzero(ids == mark)
                 begin = 0
-                for c in [*cut.tolist(), len(ids)]:
+                for c in [*np.flatnonzero(ids == mark).tolist(), len(ids)]:
                     out.append(ids[begin:c].tobytes())
                     begin = c + 1
             known.update(zip(some, out, strict=True))
@@ -99,10 +117,11 @@ class Encoder:
         heads = {w[0] for _, lines in lines_of for w in lines}
         words = set().union(*(w for _, lines in lines_of for w in lines))
         for pool, known, lead in ((heads, self.first, ""), (words, self.inner, " ")):
-            if missing := [w for w in pool if w not in known]:
-                self._learn(missing, known, lead)
-                if len(known) < len(pool) or any(w not in known for w in pool):
-                    self._learn([w for w in pool if w not in known], known, lead)
+            missing = [w for w in pool if w not in known]
+            if len(known) + len(missing) > REMEMBERED:
+                known.clear()
+                missing = list(pool)
+            self._learn(missing, known, lead)
         first, inner = self.first, self.inner.__getitem__
         for i, lines in lines_of:
             out[i] = self.newline.join([first[w[0]] + b"".join(map(inner, w[1:])) for w in lines])
