@@ -79,8 +79,8 @@ def tiers(rows: DataFrame, score: str) -> DataFrame:
     """HIGH from .85, MEDIUM from .60, else LOW, with percentages to one place."""
     tier = F.when(F.col(score) >= 0.85, "HIGH").when(F.col(score) >= 0.60, "MEDIUM").otherwise("LOW")
     counts = rows.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("tier", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("pct"))  # three rows by one
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))  # three rows
+    return counts.select("tier", "n", F.round(100 * share, 1).alias("pct"))
 
 
 def duplicates(docs: DataFrame, text: Column) -> DataFrame:

@@ -64,7 +64,7 @@ def primary_gaps(events: DataFrame, incomplete: DataFrame | None = None) -> Data
     core = events.where(F.col("type").isin(*CORE))
     dated = usable(core)
     flags = core.groupBy("doc_id").agg(
-        F.count_if("status = 'CONFIRMED' and s is not null and e is not null").alias("n"),
+        F.count_if(F.expr("status = 'CONFIRMED' and s is not null and e is not null")).alias("n"),
         F.bool_or((F.col("type").isin(*WORK) & (F.col("status") != "CONFIRMED")) | ((F.col("type") == "PROJECT") & (F.col("status") == "AMBIGUOUS"))).alias("uncertain"),
         F.bool_or(F.expr("status = 'CONFIRMED' and s is not null and e is not null and precision <> 'month'")).alias("coarse"),
     )
@@ -125,7 +125,7 @@ def category_analysis(periods: DataFrame) -> DataFrame:
     """Entries, dated entries, represented months and overlap by (doc_id, category)."""
     ranged = periods.where("state = 'month_range'")
     covered = intervals.total_months(ranged, ["doc_id", "category"]).withColumnRenamed("months", "represented")
-    sums = periods.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("entries"), F.count_if("state = 'month_range'").alias("dated"), F.sum(F.expr("if(state = 'month_range', e - s + 1, 0)")).alias("total"))
+    sums = periods.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.expr("state = 'month_range'")).alias("dated"), F.sum(F.expr("if(state = 'month_range', e - s + 1, 0)")).alias("total"))
     return sums.join(covered, ["doc_id", "category"], "left").select("doc_id", "category", "entries", "dated", F.coalesce("represented", F.lit(0)).alias("represented"), (F.col("total") - F.coalesce("represented", F.lit(0))).alias("overlap"))
 
 

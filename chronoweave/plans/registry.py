@@ -1,6 +1,11 @@
-"""All queries over the reference's operators, with the SQL they are checked against."""
+"""All queries over the analytics operators, with the SQL they are checked against."""
 
 from __future__ import annotations
 
+from . import evaluation_queries, interval_queries, state_queries, text_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (interval_queries, text_queries, evaluation_queries, state_queries):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
