@@ -34,7 +34,7 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     key = np.zeros(len(words), np.uint64)
     for t in range(packed):
         key <<= np.uint64(bits)
-        key[: len(words) - t] |= words[t:].astype(np.uint64)
+        key[: max(len(words) - t, 0)] |= words[t:].astype(np.uint64)
     where = np.flatnonzero(words)
     order = np.argsort(key[where])
     sa = where[order]

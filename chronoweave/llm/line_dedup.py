@@ -112,7 +112,8 @@ def _applied(docs: DataFrame, min_words: int) -> DataFrame:
     gone = later_copies(docs, min_words)
     split = _keyed(docs.withColumn("text", F.col("text").cast("string"))).withColumn("__lines", F.split("text", "\n")).drop("text")
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    return split.join(gone, _KEY, "left").withColumn("__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, "__gone")))
+    # a merge join at every size: the plan, and what it needs, then grow with the input
+    return split.join(gone.hint("merge"), _KEY, "left").withColumn("__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, "__gone")))
 
 
 def _text():
