@@ -99,7 +99,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("spread", T.ArrayType(T.IntegerType()))])
+#: Cells over which a set's shingles are counted; the smaller counts of two sets add up to no less than what they share.
+CELLS = 256
 
 
 def _identity(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,10 @@ def _spell(batches):
     for batch in _pieces(batches):
         sets, sizes = shingle_sets(*text_buffer(batch.column("text")))
         k1, _ = _identity(sets, sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), _lists(sets, sizes)], names=_SETS.names)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(row * CELLS + (sets % np.uint64(CELLS)).astype(np.int64), minlength=len(sizes) * CELLS)
+        spread = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, CELLS).astype(np.int32)), pa.array(counts.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), _lists(sets, sizes), spread], names=_SETS.names)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = broadcast_if_small(members)
     wanted = classes.join(known, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "k1").distinct()
     text_of = own.join(broadcast_if_small(members).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = ws.stage(text_of.mapInArrow(_spell, _SETS).join(wanted, ["doc_id", "k1"], "left_semi").select(F.col("doc_id").alias("node"), "shingles").distinct(), "sets")
+    spelled = ws.stage(text_of.mapInArrow(_spell, _SETS).join(wanted, ["doc_id", "k1"], "left_semi").select(F.col("doc_id").alias("node"), "shingles", "spread").distinct(), "spelled")
+    sets = spelled.select("node", "shingles")
 
     labels, pivots = None, 1
     while True:
@@ -192,14 +198,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = active.join(first, "h").where("rep <> p and 100 * least(n, pn) >= 75 * greatest(n, pn)")
         else:
             order = Window.partitionBy("h").orderBy("rep")
-            first = active.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
-            first = ws.stage(first.select("h", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("pl")), "pivots")
-            pairs = active.join(first, "h").where("rep <> p and label <> pl and 100 * least(m, pm) >= 75 * (n + pn - least(m, pm))")
+            first = active.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
+            first = ws.stage(first.select("h", F.col("rep").alias("p"), *_other(), F.col("spread").alias("pspread")), "pivots")
+            pairs = active.join(first, "h").where(f"rep <> p and {_MAY_LINK} and {_SPREAD}")
         pairs = ws.stage(pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "pairs")
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
         common = F.size(F.array_intersect("sa", "sb"))
-        linked = both.where(F.lit(100) * common >= F.lit(75) * (F.size("sa") + F.size("sb") - common))
-        edge_tables.append(ws.stage(linked.select("a", "b").distinct(), "links"))
+        compared = ws.stage(both.select("a", "b", common.alias("common"), (F.lit(100) * common >= F.lit(75) * (F.size("sa") + F.size("sb") - common)).alias("linked")), "compared")
+        edge_tables.append(compared.where("linked").select("a", "b"))
         joined = edge_tables[0]
         for t in edge_tables[1:]:
             joined = joined.union(t)
@@ -209,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rest.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         active = _unsettled(ws, ws.stage(rest, "rest"))
         if not again and active.count():
-            active = _unsettled(ws, _bounded(ws, active, sets, edges))
+            active = _unsettled(ws, _bounded(ws, active, shared, compared, spelled, edges))
         if not active.count():
             break
         pivots *= 4
@@ -232,20 +238,42 @@ def _unsettled(ws: Workspace, rows: DataFrame) -> DataFrame:
     return ws.stage(rows.join(mixed, "h"), "unsettled")
 
 
-def _bounded(ws: Workspace, rows: DataFrame, sets: DataFrame, same_id: DataFrame) -> DataFrame:
-    """Rows with m, the shingles that another unsettled document has, less those that can't have a link.
+#: What two sets can have in common at most: what both share with their bucket's lead and what both have
+#: beside it, or what others have at all; and whether that is enough for a link of different components.
+_COMMON = "least(least(m, pm), least(i, pi) + least(d, pd))"
+_MAY_LINK = f"label <> pl and 100 * {_COMMON} >= 75 * (n + pn - {_COMMON})"
 
-    A link of sets of n and n' shingles needs a common part of at most min(m, m'), which bounds its
-    similarity by min(m, m') / (n + n' - min(m, m')). Near copies of one text that differ too much from
-    each other each have many shingles of their own, so this settles them without comparing them.
+_SPREAD = "(spread is null or pspread is null or 175 * aggregate(zip_with(spread, pspread, (x, y) -> least(x, y)), 0, (a, x) -> a + x) >= 75 * (n + pn))"
+
+
+def _other() -> list:
+    return [F.col(c).alias(f"p{c}") for c in ("n", "m", "i", "d")] + [F.col("label").alias("pl")]
+
+
+def _bounded(ws: Workspace, rows: DataFrame, shared: DataFrame, compared: DataFrame, spelled: DataFrame, same_id: DataFrame) -> DataFrame:
+    """The rows that may still have a link, with counts that bound it: m shingles that any other unsettled
+    document has, i of them in common with the bucket's lead (known from the first round), d beside it.
+
+    Copies of one text that each differ too much from the next have shingles of their own or different ones
+    missing, so counts settle most pairs. They are compared by distinct profile (component and counts), of
+    which a bucket has few, not by row.
     """
-    nodes = rows.select(F.col("rep").alias("node")).distinct()
-    spelled = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    own = spelled.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    own = ws.stage(own.join(same_id.select(F.col("a").alias("node")).distinct(), "node", "left_anti"), "own-shingles")
-    least = ws.stage(rows.groupBy("h").agg(F.min("n").alias("least")), "least")
-    out = rows.join(own.toDF("rep", "own"), "rep", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).join(least, "h")
-    return ws.stage(out.where("100 * m >= 75 * (n + greatest(least - m, 0))").select("h", "rep", "n", "label", "m"), "bounded")
+    several = same_id.select(F.col("a").alias("node")).distinct()  # ids with several sets: counts say nothing
+    led = ws.stage(rows.join(shared, "h").withColumns({"a": F.least("rep", "lead"), "b": F.greatest("rep", "lead")}), "led")
+    nodes = led.select(F.col("rep").alias("node")).union(led.select("lead")).distinct()
+    shingles = spelled.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    own = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    own = ws.stage(own.join(several, "node", "left_anti"), "own-shingles")
+    plain = compared.select("a", "b", "common").join(several.toDF("a"), "a", "left_anti").join(several.toDF("b"), "b", "left_anti")
+    out = led.join(plain, ["a", "b"], "left").join(own.toDF("rep", "own"), "rep", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+    out = out.select("h", "rep", "n", "label", "m", F.coalesce("common", "m").alias("i"), F.coalesce(F.col("m") - F.col("common"), "m").alias("d"))
+    out = ws.stage(out, "bounded")
+    profile = ["h", "label", "n", "m", "i", "d"]
+    kinds = ws.stage(out.select(*profile).distinct(), "profiles")
+    others = kinds.select(F.col("h").alias("ph"), *_other())
+    hopeful = ws.stage(kinds.join(others, F.expr(f"h = ph and {_MAY_LINK}"), "left_semi"), "hopeful")
+    spread = spelled.select(F.col("node").alias("rep"), "spread").join(several.toDF("rep"), "rep", "left_anti")
+    return out.join(hopeful, profile, "left_semi").join(spread, "rep", "left").select("h", "rep", "n", "label", "m", "i", "d", "spread")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
