@@ -5,14 +5,16 @@ summed by a shuffle; every further table (continuation counts, discounts, contex
 probabilities) comes from joins that are sharded by n-gram. A context has at most 256 continuations, so
 no key is hot. A packed 64-bit integer is the n-gram itself, so nothing collides.
 
-A document's score is its mean negative log-probability per byte. Thresholds are quantiles, by language,
-of held-out trusted documents, times a tolerance. The finished model goes to the tasks in shards of
+A document's score is its mean negative log-probability per byte. Thresholds are plain quantiles, by
+language, over all trusted documents, each scored by a model of the other folds. The finished model, of all folds, goes to the tasks in shards of
 bounded size, split by the byte before the predicted one; each position falls into one shard, and one
 more shard is one more pass.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +27,9 @@ from .minhash import _pieces
 ORDER = 5
 #: Rows of the model in one broadcast shard (about 100 MB in a worker).
 SHARD_ROWS = 4_000_000
-#: One trusted document in HELD_OUT, by a hash of its id, sets thresholds instead of counts.
-HELD_OUT = 10
-QUANTILE, TOLERANCE = 0.99, 1.05
+#: Trusted documents fall into so many folds, by a hash of their ids; each fold is scored by a model of the others.
+FOLDS = 3
+QUANTILE = 0.99
 #: Bytes at the language's mean rate that are added to each document, so that a few words decide little.
 PRIOR_BYTES = 256
 #: Where counts of counts are odd (low orders, where all n-grams are frequent), something is still left to lower orders.
@@ -82,7 +84,12 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def train(texts: DataFrame, ws: Workspace, order: int = ORDER) -> DataFrame:
     """Model rows (n, g, v): for n > 0 the natural log of the interpolated probability of the n-gram's last
     byte after the others; for n < 0 the log of the mass that context g of -n bytes leaves to lower orders."""
-    counts = [ws.stage(count_ngrams(texts, order), "ngrams")]
+    return estimate(ws.stage(count_ngrams(texts, order), "ngrams"), ws, order)
+
+
+def estimate(ngrams: DataFrame, ws: Workspace, order: int = ORDER) -> DataFrame:
+    """The model of (g, c), the counts of the highest order."""
+    counts = [ngrams]
     for n in range(order - 1, 0, -1):  # continuation counts: how many different bytes stand before
         mask = (1 << (8 * n)) - 1
         counts.append(ws.stage(counts[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("c")), "continuations"))
@@ -262,12 +269,12 @@ def add_scores(docs: DataFrame, parts: list, nll: str = "__nll", size: str = "__
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, tolerance: float = TOLERANCE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
     """docs with perplexity, threshold and keep in three more columns named __perplexity, __threshold, __keep.
 
     Trusted: documents with labels, all of quality 1 and none toxic. keep: the mean rate of the text,
     together with PRIOR_BYTES at its language's mean, is at most the language's threshold. A language
-    without held-out documents (or a null one) takes the threshold of all. A null or empty text has no
+    without trusted documents (or a null one) takes the threshold of all. A null or empty text has no
     perplexity and is kept, as is everything if nothing is trusted. Labels without doc_id or quality
     don't count; a null toxic is 0. Repeated rows are judged alike.
     """
@@ -276,10 +283,16 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     good = ws.stage(good, "trusted")
     trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     trusted = trusted.where("text <> ''").join(broadcast_if_small(good), "doc_id", "left_semi")
-    apart = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    parts = shards(train(trusted.where(~apart), ws, order), order)
-    held = add_scores(trusted.where(apart).select("text", "lang"), parts).select("lang", "__nll", "__bytes")
-    held = ws.stage(held, "held-out")
+    trusted = ws.stage(trusted.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).alias("fold")), "trusted-texts")
+    ngrams = [ws.stage(count_ngrams(trusted.where(F.col("fold") == k), order), "ngrams") for k in range(folds)]
+    rates = []
+    for k in range(folds):
+        others = shards(estimate(_summed(ngrams[:k] + ngrams[k + 1 :], ws), ws, order), order)
+        own = add_scores(trusted.where(F.col("fold") == k).select("text", "lang"), others)
+        rates.append(ws.stage(own.select("lang", "__nll", "__bytes"), "held-out"))
+        for part in others:
+            part.unpersist()
+    held = reduce(DataFrame.union, rates)
     means = {r.lang: r.m for r in held.rollup("lang").agg((F.sum("__nll") / F.sum("__bytes")).alias("m")).collect()}  # a row per language
     overall = means.get(None)
     if overall is None:
@@ -287,14 +300,19 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     mean = _by_language({k: v for k, v in means.items() if k is not None}, overall)
     rate = (F.col("__nll") + PRIOR_BYTES * mean) / (F.col("__bytes") + PRIOR_BYTES)
     limits = held.withColumn("r", rate).rollup("lang").agg(F.percentile_approx("r", quantile, 10_000).alias("q")).collect()
-    of = {r.lang: r.q * tolerance for r in limits if r.lang is not None}
-    limit = _by_language(of, max(r.q for r in limits if r.lang is None) * tolerance)
+    of = {r.lang: r.q for r in limits if r.lang is not None}
+    limit = _by_language(of, max(r.q for r in limits if r.lang is None))
+    parts = shards(estimate(_summed(ngrams, ws), ws, order), order)
     scored = add_scores(docs, parts)
     empty = F.col("__bytes") == 0
     scored = scored.withColumns({"__perplexity": F.when(~empty, F.exp(F.col("__nll") / F.col("__bytes"))), "__threshold": F.exp(limit), "__keep": empty | (rate <= limit)})
     return scored.drop("__nll", "__bytes")
 
 
+def _summed(ngrams: list[DataFrame], ws: Workspace) -> DataFrame:
+    return ws.stage(reduce(DataFrame.union, ngrams).groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
+
+
 def _by_language(values: dict, other: float):
     lang = F.col("lang").cast("string")
     out = F.lit(other)

@@ -305,6 +305,13 @@ def test_quality_keeps_clean_text(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_rejects_fluent_toxic_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.report(docs, labels).join(labels.where("quality = 1"), "doc_id").groupBy("toxic").agg({"*": "count", "keep": "count_if"}).collect()
+    share = {r.toxic: r["count_if(keep)"] / r["count(1)"] for r in kept}
+    assert share[1] <= 0.5 and share[0] >= 0.98
+
+
 def test_kneser_ney_sums_to_one_and_shards_agree(spark, monkeypatch):
     texts = spark.createDataFrame([(_text(60),) for _ in range(20)], "text string")
     model = quality.train(texts, Workspace(spark, "test"), 3)
