@@ -114,7 +114,7 @@ TOKENS = f"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(tex
 
 
 def terms(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+    return table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
 
 
 @query("h18_tokens", f"WITH {TOKENS} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS kinds FROM tk GROUP BY 1")
