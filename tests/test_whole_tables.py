@@ -27,3 +27,8 @@ def _same(spark, name, sql):
 @pytest.mark.parametrize("name", ["h18_tokens", "d27_term_vectors", "h53_term_cosine"])
 def test_terms_of_all_languages(spark, name):
     _same(spark, name, registry.SQL[name].replace(" WHERE lang = 'en'", ""))
+
+
+def test_mentions_of_all_written_forms(spark):
+    """A bare year begins in January; a range that begins in month 13 or later is no mention."""
+    _same(spark, "k0_find_mentions", f"WITH {text_queries.WRITTEN} SELECT id, (y * 12 + CASE f WHEN 6 THEN 1 ELSE m END)::INT AS s, 24321 AS e, true AS is_range FROM w WHERE f < 7")
