@@ -65,7 +65,7 @@ def a21(spark, d):
 
 @query("b20_request_errors", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'filename missing' WHEN length(text) > 4000 THEN 'note too long' ELSE '' END AS errors FROM documents WHERE doc_id % 3 <> 0 OR length(text) <= 4000")
 def b20(spark, d):
-    r = table(spark, d, "documents").where("doc_id % 3 <> 0 or length(text) <= 4000").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise("a.txt").alias("filename"), F.col("text").alias("note"), "text", F.lit(None).cast("binary").alias("content"))
+    r = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise("a.txt").alias("filename"), F.col("text").alias("note"), "text", F.lit(None).cast("binary").alias("content"))
     return state.request_errors(r).select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 

@@ -32,3 +32,7 @@ def test_terms_of_all_languages(spark, name):
 def test_mentions_of_all_written_forms(spark):
     """A bare year begins in January; a range that begins in month 13 or later is no mention."""
     _same(spark, "k0_find_mentions", f"WITH {text_queries.WRITTEN} SELECT id, (y * 12 + CASE f WHEN 6 THEN 1 ELSE m END)::INT AS s, 24321 AS e, true AS is_range FROM w WHERE f < 7")
+
+
+def test_request_errors_of_all_documents(spark):
+    _same(spark, "b20_request_errors", "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'filename missing' END, CASE WHEN length(text) > 4000 THEN 'note too long' END, CASE WHEN text IS NULL THEN 'nothing to read' END) AS errors FROM documents")
