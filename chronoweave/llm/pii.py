@@ -35,7 +35,7 @@ WIDE = {
     "phone": r"(?<![0-9.])[(0-9][0-9 ().-]{6,20}[0-9](?![0-9])",
 }
 _WIDE_LONG = {
-    "email": r"({t} like '%@%' or {t} like '%dot%')",
+    "email": r"{t} rlike r'@|[\[(]at[\])]| at '",
     "ip": r"({t} rlike r'[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}:' or {t} rlike r'[0-9]\.[0-9]+\.[0-9]')",
     "card": r"{t} rlike r'[0-9]{{4}}[ .-]?[0-9]{{4}}'",
     "phone": r"{t} rlike r'[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9]'",
@@ -192,7 +192,7 @@ def find(docs: DataFrame, model: tuple[str, dict[int, float]] | None = None) ->
     out = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumn("__base", F.expr(_base("__text")))
     scored = f"transform({_features(_candidates('__text'))}, c -> named_struct('s', c.s, 'o', c.o, 'e', c.e, 'p', {score}))"
-    out = out.withColumn("__scored", F.expr(f"if(__text rlike r'[0-9@]|dot', {scored}, cast(array() as array<struct<s:int,o:int,e:int,p:double>>))"))
+    out = out.withColumn("__scored", F.expr(f"if(__text rlike r'[0-9@]|[\\[(]at[\\])]| at |[A-Fa-f]:[A-Fa-f]{{1,4}}:', {scored}, cast(array() as array<struct<s:int,o:int,e:int,p:double>>))"))
     enough = " or ".join(f"(c.o = {o} and c.p > {q!r})" for o, q in sorted(limits.items())) or "false"
     out = out.withColumn("__more", F.expr(f"filter(__scored, c -> ({enough}) and not exists(__base, b -> b.s < c.e and c.s < b.e))"))
     # of candidates that overlap, the surest stays; then the earliest, then the longest

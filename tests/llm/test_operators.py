@@ -243,6 +243,14 @@ def test_pii_keeps_all_base_spans(spark):
     assert "a@b.co" not in red[1] and "[EMAIL]" in red[1] and red[2] is None
 
 
+def test_pii_gates_let_the_wide_pattern_through(spark):
+    model = pii.grow(spark)
+    texts = ["mail me: anna [at] example.com today", "mail me: anna (at) example.com today", "mail me: anna at example.com today", "ip ab:cd:ef:ab:cd:ef:ab:cd today"]
+    shown = spark.createDataFrame([(i, t + end) for i, t in enumerate(texts) for end in ("", " 1 @ dot")], "doc_id long, text string")
+    got = [[r.s for r in x["__spans"]] for x in pii.find(shown, model).orderBy("doc_id", "text").collect()]
+    assert got[::2] == got[1::2] and got[0] and got[2] and got[4]
+
+
 def test_pii_trees_separate_held_out(spark):
     score, limits = pii.grow(spark)
     rows = pii.labelled(spark, 3, 800).selectExpr("label", "named_struct('o', o, 'f', f) as c").selectExpr("c.o as o", "label", f"{score} as p").collect()
