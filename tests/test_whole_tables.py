@@ -36,3 +36,8 @@ def test_mentions_of_all_written_forms(spark):
 
 def test_request_errors_of_all_documents(spark):
     _same(spark, "b20_request_errors", "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'filename missing' END, CASE WHEN length(text) > 4000 THEN 'note too long' END, CASE WHEN text IS NULL THEN 'nothing to read' END) AS errors FROM documents")
+
+
+def test_emails_of_all_documents(spark):
+    """The smallest distinct address and how many there are; none is null and 0."""
+    _same(spark, "h12_emails", "SELECT doc_id, list_min(e) AS first, len(e)::INT AS n FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) AS e FROM documents)")
