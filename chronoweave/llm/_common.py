@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -14,9 +16,15 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only an unset one (as in tests) is replaced."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (root or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local run (one process) takes a
+    temporary folder; a cluster has no such folder that all its machines see, so there it is an error."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return root.rstrip("/")
 
 
 class Workspace:
@@ -67,6 +75,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- what a worker keeps between tasks
+
+_kept: dict = {}
+
+
+def keep(key, make):
+    """make()'s result, made once while a reused worker runs tasks with the same key. A worker keeps one thing
+    at a time: a task with another key frees what the one before left, so stages don't add up in memory."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Free what the worker keeps, and hand free memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps its free memory
+        pass
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -134,6 +173,19 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def chunks(column):
+    """Texts cut before every line break and at every space: row bounds, and the chunks as a dictionary array.
+
+    A chunk that begins with a line break stands at the start of a line; the spaces are gone.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " \n"), " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return bounds - bounds[0], lists.flatten().dictionary_encode()
+
+
 def scan_words(data: np.ndarray, bounds: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in bytes, and the word bounds of each row."""
     if not len(data):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ITEM_WORD, hash_words, scan_words, text_buffer
+from ._common import ITEM_WORD, hash_words, release, scan_words, text_buffer
 from .minhash import _pieces
 
 WINDOW = 10
@@ -217,6 +217,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     def pass_over(block):
         def run(batches):
+            release()
             for batch in _pieces(batches, SHARD_BYTES):
                 n, spans, items, longest = _shard(block.value, batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(spans, _ARROW.field("spans").type), pa.array(items, _ARROW.field("items").type), pa.array(longest)], schema=_ARROW)
@@ -252,6 +253,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     for block in blocks(benchmark, window):
 
         def run(batches, block=block):
+            release()
             for batch in _pieces(batches, SHARD_BYTES):
                 _, spans, _, _ = _shard(block.value, batch.column("text"))
                 yield batch.filter(pa.array([not s for s in spans]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import NOT_SPACE, Workspace, broadcast_if_small, components, hash_words, mix64, scan_words, text_buffer
+from ._common import NOT_SPACE, Workspace, broadcast_if_small, components, hash_words, mix64, release, scan_words, text_buffer
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 _SALT = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
@@ -139,6 +139,7 @@ def _pieces(batches, most: int = 4 << 20):
 def _sign(batches):
     import pyarrow as pa
 
+    release()
     for batch in _pieces(batches):
         sets, sizes = shingle_sets(*text_buffer(batch.column("text")))
         k1, k2 = _identity(sets, sizes)
@@ -151,6 +152,7 @@ def _sign(batches):
 def _spell(batches):
     import pyarrow as pa
 
+    release()
     for batch in _pieces(batches):
         sets, sizes = shingle_sets(*text_buffer(batch.column("text")))
         k1, _ = _identity(sets, sizes)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Workspace, broadcast_if_small, text_buffer
+from ._common import Workspace, broadcast_if_small, keep, release, text_buffer
 from .minhash import _pieces
 
 ORDER = 5
@@ -52,6 +52,7 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c) over all texts."""
 
     def run(batches):
+        release()
         held: list = []
         size = 0
 
@@ -225,15 +226,9 @@ def shards(model: DataFrame, order: int = ORDER) -> list:
     return out
 
 
-_scorers: dict = {}
-
-
 def _scorer(shared) -> Scorer:
     """A worker builds the tables of a shard once and keeps those of one shard."""
-    if shared.id not in _scorers:
-        _scorers.clear()
-        _scorers[shared.id] = Scorer(*shared.value)
-    return _scorers[shared.id]
+    return keep(("scorer", shared.id), lambda: Scorer(*shared.value))
 
 
 class _Shared:
@@ -291,7 +286,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
         own = add_scores(trusted.where(F.col("fold") == k).select("text", "lang"), others)
         rates.append(ws.stage(own.select("lang", "__nll", "__bytes"), "held-out"))
         for part in others:
-            part.unpersist()
+            part.destroy()
     held = reduce(DataFrame.union, rates)
     means = {r.lang: r.m for r in held.rollup("lang").agg((F.sum("__nll") / F.sum("__bytes")).alias("m")).collect()}  # a row per language
     overall = means.get(None)
