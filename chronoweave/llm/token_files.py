@@ -1,7 +1,7 @@
 """Token ids in canonical, length-limited Huffman code.
 
-Three passes over staged tables: tokenize once; count ids over all documents and derive the code on the
-driver (its size is that of the vocabulary); encode, order by doc_id and write.
+Two passes: tokenize and count ids, and derive the code from the counts of all documents on the driver (its
+size is that of the vocabulary); order by doc_id, encode and write.
 
 File format: a Parquet table with a row per block (so the files split, carry checksums and commit like
 any other), blocks ascending by doc_id within a part and parts ascending among each other:
@@ -17,24 +17,27 @@ A block can be decoded by itself, and a document from any checkpoint.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Workspace
+from ._common import Workspace, chunks, keep, release
 from .minhash import _pieces
 
 STEP = 256
 MAX_BITS = 16
+#: Bytes of ids in a block; a document is never split.
 BLOCK_BYTES = 1 << 20
-#: Chunks that a worker remembers the ids of; when there are more, it starts over.
-REMEMBERED = 600_000
+#: Text that is tokenized at once, and chunks that a worker remembers the ids of; beyond that it goes on with those of the text at hand.
+PIECE_BYTES, REMEMBERED = 16 << 20, 600_000
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -44,98 +47,107 @@ class Encoder:
     """Ids of whole texts by the tokenizers library; chunks between single spaces are remembered.
 
     The byte-level pre-tokenizer always cuts before a single space that follows a non-space, and at a
-    single line break between non-spaces, so chunks can be encoded one by one. Texts with any two white
-    spaces in a row go to the library whole.
+    single line break between non-spaces, so chunks can be encoded one by one. Texts that begin or end with
+    white space, with any two white spaces in a row, or with a special token go to the library whole.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.newline = self._plain(["\n"])[0]
-        self.first, self.inner = {}, {}
+        self.known: dict[str, bytes] = {"": b""}
         # how the byte-level pre-tokenizer writes bytes: printable ones as themselves, others from U+0100 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.spelled = [chr(moved.get(b, b)) for b in range(256)]
         self.tails = dict(zip(["", ".", ","], self._plain(["", ".", ","]), strict=True))
+        white = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"{white}{white}", f"^{white}", f"{white}$", *special])
+        self.newline = self._plain(["\n"])[0]
         probe = "a b\nc d,e f"
-        self.cuts = self._plain([probe])[0] == b"".join(self._plain(["a", " b", "\n", "c", " d,e", " f"]))
+        self.cuts = len(self.newline) == np.dtype(self.kind).itemsize and self._plain([probe])[0] == b"".join(self._plain(["a", " b", "\n", "c", " d,e", " f"]))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str], known: dict, lead: str) -> None:
-        """A word of letters is one pre-token, which the library's model takes as it is; the rest goes through the whole library."""
-        model, spell, tails = self.tokenizer.model.tokenize, self.spelled.__getitem__, self.tails
-        kind, space = np.dtype(self.kind).char, "".join(map(spell, lead.encode()))
+    def _learn(self, missing: list[str], lead: str) -> None:
+        """Chunks that follow a space (lead " ") or a line break, which they begin with (lead "").
+
+        A word of Latin letters is one pre-token, which the library's model takes as it is; the rest goes
+        through the whole library.
+        """
+        model, spell, tails, known = self.tokenizer.model.tokenize, self.spelled.__getitem__, self.tails, self.known
+        kind, before, skip = np.dtype(self.kind).char, (b"" if lead else self.newline), (0 if lead else 1)
+        space = "".join(map(spell, lead.encode()))
         rest = []
         for w in missing:
-            body = w if w.isalpha() else w[:-1]
-            tail = "" if w.isalpha() else w[-1:]
-            if tail in tails and body.isalpha():
-                ids = known.get(body) if tail else None
+            tail = w[-1] if w[-1] in ".," else ""
+            body = w[skip : len(w) - len(tail)]
+            if body.isalpha() and max(body) < "\u0250":
+                ids = known.get(w[: len(w) - 1]) if tail else None
                 if ids is None:
                     shown = space + (body if body.isascii() else "".join(map(spell, body.encode())))
-                    ids = known[body] = array(kind, [t.id for t in model(shown)]).tobytes()
+                    ids = before + array(kind, [t.id for t in model(shown)]).tobytes()
                 known[w] = ids + tails[tail]
+            elif len(w) == skip:
+                known[w] = before
             else:
                 rest.append(w)
         mark = int(np.frombuffer(self.newline, self.kind)[0])
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            joined = [lead + f"\n{lead}".join(some[j : j + 64]) for j in range(0, len(some), 64)]
+            joined = [lead + f"\n{lead}".join(w[skip:] for w in some[j : j + 64]) for j in range(0, len(some), 64)]
             out = []
             for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
                 ids = np.array(e.ids, self.kind)
                 begin = 0
                 for c in [*np.flatnonzero(ids == mark).tolist(), len(ids)]:
-                    out.append(ids[begin:c].tobytes())
+                    out.append(before + ids[begin:c].tobytes())
                     begin = c + 1
             known.update(zip(some, out, strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        plain, lines_of = [], []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif not self.cuts or _DOUBLE(t) or t[0].isspace() or t[-1].isspace():
-                plain.append(i)
-            else:
-                lines_of.append((i, [line.split(" ") for line in t.split("\n")]))
-        if plain:
-            for i, b in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
-                out[i] = b
-        # what isn't known yet is encoded together
-        heads = {w[0] for _, lines in lines_of for w in lines}
-        words = set().union(*(w for _, lines in lines_of for w in lines))
-        for pool, known, lead in ((heads, self.first, ""), (words, self.inner, " ")):
-            missing = [w for w in pool if w not in known]
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(pool)
-            self._learn(missing, known, lead)
-        first, inner = self.first, self.inner.__getitem__
-        for i, lines in lines_of:
-            out[i] = self.newline.join([first[w[0]] + b"".join(map(inner, w[1:])) for w in lines])
-        return out
-
-
-_DOUBLE = re.compile(r"\s\s").search
-_encoders: dict[str, Encoder] = {}
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each followed by the end id, and the rows' bounds in them; null is empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        if self.cuts:
+            odd = pc.match_substring_regex(column, self.whole)
+        else:
+            odd = pc.greater(pc.binary_length(column), 0)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        # a line break before each text: its one id is where the end id of the text before goes
+        bounds, found = chunks(pc.binary_join_element_wise(_BREAK, pc.if_else(odd, _EMPTY, column), _EMPTY))
+        words = found.dictionary.to_pylist()
+        known = self.known
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > REMEMBERED:
+            known = self.known = {w: known[w] for w in ["", *words] if w in known}
+        self._learn([w for w in missing if w[0] != "\n"], " ")
+        self._learn([w for w in missing if w[0] == "\n"], "")
+        coded = pa.array(list(map(known.__getitem__, words)), pa.large_binary()).take(found.indices)
+        size = np.dtype(self.kind).itemsize
+        at = (np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1] // size)[bounds] if len(coded) else np.zeros(1, np.int64)
+        ids = np.empty(int(at[-1] - at[0]), self.kind)
+        if len(ids):
+            ids[:-1] = np.frombuffer(coded.buffers()[2], self.kind)[at[0] + 1 : at[-1]]
+            at = at - at[0]
+            ids[at[1:] - 1] = end
+        if not len(whole):
+            return ids, at
+        parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i, raw in zip(whole.tolist(), self._plain(column.take(pa.array(whole)).to_pylist()), strict=True):
+            parts[i] = np.append(np.frombuffer(raw, self.kind), self.kind(end))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+_BREAK, _EMPTY = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
 
 
 def load(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return keep(("token-files", path), lambda: Encoder(path))
 
 
 # ---------------------------------------------------------------- the code
@@ -184,6 +196,9 @@ class Code:
         place = np.cumsum(step) - step
         self.codes = np.zeros(len(lengths), np.uint32)
         self.codes[order] = (place >> (self.bits - lengths[order].astype(np.int64))).astype(np.uint32)
+        # codes that begin at the top bit of a word with room for a shift of seven
+        wide = np.uint32 if self.bits <= 24 else np.uint64
+        self.left = self.codes.astype(wide) << (np.dtype(wide).itemsize * 8 - np.maximum(lengths, 1).astype(np.int64)).astype(wide)
         self.symbol = np.zeros(1 << self.bits, np.uint32)
         self.width = np.ones(1 << self.bits, np.uint8)
         filled = int(step.sum())
@@ -192,22 +207,25 @@ class Code:
 
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Payload, its bounds by document, and the bit of every id in its document."""
-        width = self.lengths[ids].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(width)])
+        width = self.lengths[ids]
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(width, out=ends[1:])
         cut = np.concatenate([[0], np.cumsum(counts)])
         sizes = (ends[cut[1:]] - ends[cut[:-1]] + 7) >> 3
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        own = ends[:-1] - np.repeat(ends[cut[:-1]], counts)
-        at = own + np.repeat(bounds[:-1] * 8, counts)
+        begins = ends[cut[:-1]]
+        # each document starts at a byte: its bits move by so many
+        at = ends[:-1] + np.repeat(bounds[:-1] * 8 - begins, counts)
         payload = np.zeros(int(bounds[-1]) + 4, np.uint8)
         if len(ids):
-            value = self.codes[ids].astype(np.uint64) << (32 - width - (at & 7)).astype(np.uint64)
+            value = self.left[ids] >> (at & 7).astype(np.uint32 if self.bits <= 24 else np.uint64)
             byte = at >> 3
             fresh = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-            value, byte = np.add.reduceat(value, fresh), byte[fresh]
-            for k in range(4):
-                payload[byte + k] |= (value >> np.uint64(24 - 8 * k)).astype(np.uint8)
-        return payload[: int(bounds[-1])], bounds, own
+            value, byte = np.add.reduceat(value, fresh, dtype=value.dtype), byte[fresh]
+            top = value.dtype.itemsize * 8 - 8
+            for k in range((self.bits + 14) // 8):
+                payload[byte + k] |= (value >> value.dtype.type(top - 8 * k)).astype(np.uint8)
+        return payload[: int(bounds[-1])], bounds, ends[:-1] - np.repeat(begins, counts)
 
     def decode(self, payload: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Ids from bit positions on, count of them from each, one lane for each position."""
@@ -236,8 +254,8 @@ class Code:
 # ---------------------------------------------------------------- writing
 
 
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
-_CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("checkpoints", T.BinaryType()), T.StructField("payload", T.BinaryType())])
+#: A row per document; and at the end of each task one with doc_id, tie and ids null and the task's counts of ids.
+_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("used", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.LongType()))])
 _BLOCK = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -248,28 +266,23 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Workspace) -> t
 
     def tokenize(batches):
         encoder = load(tokenizer_path)
-        end = encoder.kind(end_id).tobytes()
-        for batch in _pieces(batches):
-            coded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array([c + end for c in coded], pa.binary())], names=_TOKENS.names)
+        total = np.zeros(max(encoder.size, end_id + 1), np.int64)
+        schema = _arrow(_TOKENS)
+        for batch in _pieces(batches, PIECE_BYTES):
+            ids, bounds = encoder.encode(batch.column("text"), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            raw = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), raw, *(pa.nulls(batch.num_rows, f.type) for f in (schema.field("used"), schema.field("times")))], schema=schema)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "times": total[used].tolist()}], schema=schema)
 
     where = ws.path("tokens")
     own.mapInArrow(tokenize, _TOKENS).write.option("compression", "zstd").parquet(where)
-    tokens = spark.read.schema(_TOKENS).parquet(where)
-    size, kind = load(tokenizer_path).size, load(tokenizer_path).kind
-    size = max(size, end_id + 1)
-
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=size) if len(ids) > 4 * size else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 4 * size)
-            total += np.bincount(np.frombuffer(small, kind), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    totals = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    written = spark.read.schema(_TOKENS).parquet(where)
+    tokens = written.where("ids is not null").select("doc_id", "tie", "ids")
+    encoder = load(tokenizer_path)
+    size, kind = max(encoder.size, end_id + 1), encoder.kind
+    totals = written.where("ids is null").select(F.explode(F.arrays_zip("used", "times")).alias("x")).groupBy(F.col("x.used").alias("id")).agg(F.sum("x.times").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in totals.collect():  # a row per vocabulary entry at most
         counts[row.id] = row.n
@@ -277,56 +290,40 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Workspace) -> t
     code = ws.stage(spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1), "code")
     shared = spark.sparkContext.broadcast(lengths)
 
-    def encode(batches):
-        code = Code(shared.value)
-        for batch in batches:
-            column = batch.column("ids").to_pylist()
-            i = 0
-            while i < len(column):
-                j, most = i, 0
-                while j < len(column) and (j == i or most + len(column[j]) <= 4 << 20):
-                    most += len(column[j])
-                    j += 1
-                ids = np.frombuffer(b"".join(column[i:j]), kind)
-                n = np.array([len(c) // ids.itemsize for c in column[i:j]], np.int64)
-                payload, bounds, bit = code.encode(ids, n)
-                starts = np.cumsum(n) - n
-                raw = payload.tobytes()
-                marks = [bit[s : s + m : STEP].astype("<u4").tobytes() for s, m in zip(starts.tolist(), n.tolist(), strict=True)]
-                bodies = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("tie").slice(i, j - i), pa.array(n), pa.array(marks, pa.binary()), pa.array(bodies, pa.binary())], names=_CODED.names)
-                i = j
-
-    coded = ws.stage(tokens.mapInArrow(encode, _CODED), "coded")
-    ws.remove(where)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = coded.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id())
-
-    def pack(batches):
-        docs_, n, at, marks, body, size_, block, first, before, part = [], [], [], [], [], 0, 0, 0, 0, 0
-
-        def row():
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "doc_ids": docs_, "counts": n, "bytes": at, "checkpoints": b"".join(marks), "payload": b"".join(body)}], schema=_arrow(_BLOCK))
+    ordered = tokens.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
+    def encode(batches):
+        release()
+        code, schema = Code(shared.value), _arrow(_BLOCK)
+        held: list = []
+        block = first = size = 0
+
+        def row(part):
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
+            n = np.array([len(x) for _, x in held], np.int64) // ids.itemsize
+            payload, bounds, bit = code.encode(ids, n)
+            lanes = -(-n // STEP)
+            inside = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+            marks = bit[np.repeat(np.cumsum(n) - n, lanes) + inside * STEP].astype("<u4")
+            one = {"part": part, "block": block, "first": first, "doc_ids": [d for d, _ in held], "counts": n.tolist(), "bytes": bounds[:-1].tolist(), "checkpoints": marks.tobytes(), "payload": payload.tobytes()}
+            return pa.RecordBatch.from_pylist([one], schema=schema), int(n.sum())
+
+        part = 0
         for batch in batches:
-            for r in batch.to_pylist():
-                part = r["part"]
-                if size_ >= BLOCK_BYTES:
-                    yield row()
-                    block, first = block + 1, before
-                    docs_, n, at, marks, body, size_ = [], [], [], [], [], 0
-                docs_.append(r["doc_id"])
-                n.append(r["n"])
-                at.append(size_)
-                marks.append(r["checkpoints"])
-                body.append(r["payload"])
-                size_ += len(r["payload"])
-                before += r["n"]
-        if docs_:
-            yield row()
-
-    blocks = ws.stage(ordered.mapInArrow(pack, _BLOCK), "blocks")
-    ws.drop(coded)
+            for d, ids, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "part")), strict=True):
+                if size >= BLOCK_BYTES:
+                    out, n = row(part)
+                    yield out
+                    block, first, size = block + 1, first + n, 0
+                    held.clear()
+                held.append((d, ids))
+                size += len(ids)
+        if held:
+            yield row(part)[0]
+
+    blocks = ws.stage(ordered.mapInArrow(encode, _BLOCK), "blocks")
+    ws.remove(where)
     return blocks, code
 
 
@@ -354,6 +351,7 @@ def read(blocks: DataFrame, code: DataFrame, with_ids: bool = False) -> DataFram
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def decode(batches):
+        release()
         lengths, sums = shared.value
         code = Code(lengths)
         for batch in batches:

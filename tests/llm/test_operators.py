@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("chronoweave.llm")
@@ -125,13 +126,27 @@ def test_pieces_equal_the_library(spark):
     lib, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.Model(path)
     texts = [None, "", " ", "a  b", "x\n\ny", "é😀中", "supercalifragilistic" * 40, "\x00", "the the.The,the", "thequick" * 4000]
     texts += ["".join(RND.choice(["a", "the", " ", "\n", "ß", "...", "ing", "12", "\t"]) for _ in range(60)) for _ in range(100)]
+    texts += ["\n", "a ", " a", "\na", "a \n b", ("supercalifragilistic" * 3 + " x ") * 2000]
     got = {r.doc_id: r for r in piece_codec.encode_documents(_docs(spark, list(enumerate(texts))), path).collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == lib.encode(t or "") and got[i].round_trip and got[i].n_tokens == len(got[i].ids)
     assert "".join(model.search("thequickbrownfox" * 50)) == "thequickbrownfox" * 50
+    # the search is the only path: it commits while it goes, and its window stays a few pieces wide
+    long = piece_codec.Model(path)
+    ids, bounds = long.encode_column(pa.array(["thequick" * 4000, "a  b", None]))
+    assert ids[bounds[0] : bounds[1]].tolist() == lib.encode("thequick" * 4000) and bounds[3] == bounds[2]
+    assert long.commits > 500 and long.widest <= 6 * long.longest
     assert piece_codec.encode_documents(_docs(spark, []), path).count() == 0
 
 
+def test_tied_priorities_merge_from_the_left():
+    for _ in range(60):
+        words = {"".join(RND.choice("ab") for _ in range(RND.randrange(1, 5))) for _ in range(9)} | {"a", "b"}
+        model = piece_codec.Model(pieces=[("<unk>", 0.0, 2)] + [(w, float(-RND.randrange(3)), 1) for w in words], bpe=True, dummy_prefix=False)
+        text = "".join(RND.choice("ab") for _ in range(60))
+        assert list(model.search(text)) == model.merge(text)
+
+
 def test_unigram_search_is_optimal():
     for _ in range(60):
         pieces = {"".join(RND.choice("abc") for _ in range(RND.randrange(1, 5))) for _ in range(8)}
@@ -264,8 +279,9 @@ def test_token_files_round_trip(spark):
 
     path = tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    texts = [None, "", "a", "  two  spaces", "tab\tand\r\nmore", "<|endoftext|>", "it's é中😀", "line\none. Two, three", "x" * 3000, " lead", "trail "] + [_text(RND.randrange(60)) for _ in range(60)]
+    texts = [None, "", "a", "  two  spaces", "tab\tand\r\nmore", "<|endoftext|>", "a <|endoftext|> b", "it's é中😀", "line\none. Two, three", "x" * 3000, " lead", "trail ", "\n", "a\x1cb\xa0c"] + [_text(RND.randrange(60)) for _ in range(60)]
+    texts += ["".join(RND.choice(["a", "the", " ", " ", "\n", "ß", "...", "ing", "12", "\t", "<|endoftext|>", "中", "'s", ","]) for _ in range(RND.randrange(30))) for _ in range(300)]
+    texts += [" ".join(_text(2000).split() * 20)]
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(None, "n"), (5, "same"), (5, "same")]
     got = sorted(token_files.round_trip(_docs(spark, rows), path).collect(), key=lambda r: r.start)
     expected = collections.Counter()
