@@ -17,6 +17,7 @@ A block can be decoded by itself, and a document from any checkpoint.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -37,7 +38,7 @@ MAX_BITS = 16
 #: Bytes of ids in a block; a document is never split.
 BLOCK_BYTES = 1 << 20
 #: Text that is tokenized at once, and chunks that a worker remembers the ids of; beyond that it goes on with those of the text at hand.
-PIECE_BYTES, REMEMBERED = 16 << 20, 600_000
+PIECE_BYTES, REMEMBERED = 16 << 20, 1_000_000
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -86,13 +87,13 @@ class Encoder:
         rest = []
         for w in missing:
             tail = w[-1] if w[-1] in ".," else ""
-            body = w[skip : len(w) - len(tail)]
-            if body.isalpha() and max(body) < "\u0250":
+            body = w[skip : len(w) - len(tail)] if skip or tail else w
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
                 ids = known.get(w[: len(w) - 1]) if tail else None
                 if ids is None:
                     shown = space + (body if body.isascii() else "".join(map(spell, body.encode())))
                     ids = before + array(kind, [t.id for t in model(shown)]).tobytes()
-                known[w] = ids + tails[tail]
+                known[w] = ids + tails[tail] if tail else ids
             elif len(w) == skip:
                 known[w] = before
             else:
@@ -265,6 +266,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Workspace) -> t
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), F.col("text").cast("string").alias("text"))
 
     def tokenize(batches):
+        gc.disable()  # nothing here makes cycles, and a collection would visit all that is remembered
         encoder = load(tokenizer_path)
         total = np.zeros(max(encoder.size, end_id + 1), np.int64)
         schema = _arrow(_TOKENS)
@@ -273,6 +275,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Workspace) -> t
             total += np.bincount(ids, minlength=len(total))
             raw = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), raw, *(pa.nulls(batch.num_rows, f.type) for f in (schema.field("used"), schema.field("times")))], schema=schema)
+        gc.enable()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "times": total[used].tolist()}], schema=schema)
 
