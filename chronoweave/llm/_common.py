@@ -27,13 +27,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own switch for freeing the shuffle files of a query that has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
-    """Tables that cut lineage. Each is written once and read back, so a lost executor costs one stage, not all."""
+    """Tables that cut lineage. Each is written once and read back, so a lost executor costs one stage, not all.
+    What a written table was computed from is not needed again, so its shuffle files go at once."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._staged: list[str] = []
         atexit.register(self._quietly_remove, self.root)
 
     def path(self, name: str) -> str:
@@ -41,17 +47,32 @@ class Workspace:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        where = self.path(name)
-        df.write.parquet(where)
+        where, conf = self.path(name), self.spark.conf
+        before = conf.get(_FREE_SHUFFLES, "false")
+        conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            conf.set(_FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._stage_path = where
+        self._staged.append(where)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Free the disk of tables that no later step reads."""
         for df in frames:
+            self._staged.remove(df._stage_path)
             self.remove(df._stage_path)
 
+    def only(self, *frames: DataFrame) -> None:
+        """Free the disk of all tables but these, the ones that a result still reads."""
+        kept = {df._stage_path for df in frames}
+        for where in self._staged:
+            if where not in kept:
+                self.remove(where)
+        self._staged = [where for where in self._staged if where in kept]
+
     def remove(self, where: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(where)
@@ -235,22 +256,25 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     labels = None
     while e.count():
         both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).union(e.select("b", "a"))
-        up = ws.stage(both.groupBy("node").agg(F.min("to").alias("up")).select("node", F.least("node", "up").alias("up")), "hooks")
+        kept = ws.stage(both.groupBy("node").agg(F.min("to").alias("up")).select("node", F.least("node", "up").alias("up"), F.lit(True).alias("moved")), "hooks")
         while True:
-            top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            nxt = ws.stage(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "jumps")
-            moved = nxt.where("moved").limit(1).count()
-            up = nxt.select("node", "up")
-            if not moved:
+            up = kept.select("node", "up")
+            if not kept.where("moved").limit(1).count():
                 break
-            up = ws.stage(up, "chain")
+            top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            before, kept = kept, ws.stage(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "jumps")
+            ws.drop(before)
         root_a, root_b = up.toDF("a", "ra"), up.toDF("b", "rb")
-        e = ws.stage(e.join(root_a, "a").join(root_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        left = ws.stage(e.join(root_a, "a").join(root_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = ws.stage(up.toDF("node", "label"), "labels")
+            now = ws.stage(up.toDF("node", "label"), "labels")
         else:
             step = up.toDF("label", "root")
-            labels = ws.stage(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            now = ws.stage(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            ws.drop(labels)
+        ws.drop(e, kept)
+        e, labels = left, now
     if labels is None:
-        labels = e.toDF("node", "label")
+        labels = ws.stage(e.toDF("node", "label"), "labels")
+    ws.drop(e)
     return labels

@@ -23,7 +23,7 @@ from .minhash import _pieces
 WINDOW = 10
 #: Bytes of benchmark text in a block, which bounds what is broadcast at once.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 
 
 def suffix_array(words: np.ndarray) -> np.ndarray:

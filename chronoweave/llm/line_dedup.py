@@ -104,7 +104,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies = every.join(ws.stage(first, "first"), ["m", "ra", "rb"])
     copies = copies.where("__d > f.__d or (__d = f.__d and (__t > f.__t or (__t = f.__t and s > f.s)))")
     gone = copies.select(*_KEY, F.explode(F.sequence("s", "e")).alias("pos")).distinct()
-    return ws.stage(gone.groupBy(*_KEY).agg(F.sort_array(F.collect_list("pos")).alias("__gone")), "gone")
+    out = ws.stage(gone.groupBy(*_KEY).agg(F.sort_array(F.collect_list("pos")).alias("__gone")), "gone")
+    ws.only(out)
+    return out
 
 
 def _applied(docs: DataFrame, min_words: int) -> DataFrame:

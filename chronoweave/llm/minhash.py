@@ -170,8 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked: component_id is null and kept is true. An empty table gives an empty result. Other columns
     of docs, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "minhash")
+    return _near_duplicates(docs, Workspace(docs.sparkSession, "minhash"), id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = ws.stage(own.mapInArrow(_sign, _SIGNED), "signed")
     ids = signed.where("doc_id is not null and n_shingles > 0")
@@ -224,11 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     root = classes.join(labels.toDF("rep", "label"), "rep", "left").where("copies > 1 or label is not null")
     root = ws.stage(root.select("n_shingles", "k1", "k2", F.coalesce("label", "rep").alias("root")), "roots")
+    several = not edges.isEmpty()
+    ws.only(signed, root, *([labels] if several else []))
     # ids with several texts: the id's own label counts for all its rows
     out = signed.join(root, ["n_shingles", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    if not edges.isEmpty():
+    if several:
         # a row with an empty set whose id has another text follows its id
         out = out.join(labels.toDF("doc_id", "own"), "doc_id", "left").withColumn("component_id", F.least("component_id", F.coalesce("own", "component_id"))).drop("own")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -283,7 +287,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept document's id stay too. Rows without doc_id or without words all stay.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    gone = Workspace(docs.sparkSession, "minhash-gone").stage(gone, "gone")
+    ws = Workspace(docs.sparkSession, "minhash")
+    gone = ws.stage(_near_duplicates(docs, ws).where("not kept").select("doc_id").distinct(), "gone")
+    ws.only(gone)
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
     return kept.select(docs.columns)

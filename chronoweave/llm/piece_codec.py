@@ -36,7 +36,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Characters that a search takes at once.
 STEP = 4096
 #: Text that is encoded at once, and chunks and pairs that a worker remembers; beyond that it goes on with those of the text at hand.
-PIECE_BYTES, REMEMBERED = 8 << 20, 500_000
+PIECE_BYTES, REMEMBERED = 4 << 20, 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:

@@ -6,9 +6,10 @@ probabilities) comes from joins that are sharded by n-gram. A context has at mos
 no key is hot. A packed 64-bit integer is the n-gram itself, so nothing collides.
 
 A document's score is its mean negative log-probability per byte. Thresholds are plain quantiles, by
-language, over all trusted documents, each scored by a model of the other folds. The finished model, of all folds, goes to the tasks in shards of
-bounded size, split by the byte before the predicted one; each position falls into one shard, and one
-more shard is one more pass.
+language, over all trusted documents, each scored by a model of the other folds. The models of all folds
+but one and of all folds are estimated together. A finished model goes to the tasks in shards of bounded
+size, split by the byte before the predicted one; each position falls into one shard, and one more shard is
+one more pass.
 """
 
 from __future__ import annotations
@@ -85,42 +86,42 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def train(texts: DataFrame, ws: Workspace, order: int = ORDER) -> DataFrame:
     """Model rows (n, g, v): for n > 0 the natural log of the interpolated probability of the n-gram's last
     byte after the others; for n < 0 the log of the mass that context g of -n bytes leaves to lower orders."""
-    return estimate(ws.stage(count_ngrams(texts, order), "ngrams"), ws, order)
+    ngrams = ws.stage(count_ngrams(texts, order).select(F.lit(0).alias("k"), "g", "c"), "ngrams")
+    return estimate(ngrams, ws, order).drop("k")
 
 
 def estimate(ngrams: DataFrame, ws: Workspace, order: int = ORDER) -> DataFrame:
-    """The model of (g, c), the counts of the highest order."""
+    """Models (k, n, g, v) of (k, g, c), the counts of the highest order for each of a few models k, all in one pass."""
     counts = [ngrams]
     for n in range(order - 1, 0, -1):  # continuation counts: how many different bytes stand before
         mask = (1 << (8 * n)) - 1
-        counts.append(ws.stage(counts[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("c")), "continuations"))
+        counts.append(ws.stage(counts[-1].groupBy("k", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("c")), "continuations"))
     rows, lower = [], None
     for n, own in enumerate(reversed(counts), 1):
-        found = own.groupBy(F.least("c", F.lit(4)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4 rows at most
-        of = {r.c: r.n for r in found}
-        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        discount = [max(LEAST_DISCOUNT, i - (i + 1) * y * b / a) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        d = F.when(F.col("c") == 1, discount[0]).when(F.col("c") == 2, discount[1]).otherwise(discount[2])
+        found = own.groupBy("k", F.least("c", F.lit(4)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4 rows a model at most
+        d = F.lit(None).cast("double")
+        for k in {r.k for r in found}:
+            of = {r.c: r.n for r in found if r.k == k}
+            n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0.5
+            discount = [max(LEAST_DISCOUNT, i - (i + 1) * y * b / a) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+            d = F.when(F.col("k") == k, F.when(F.col("c") == 1, discount[0]).when(F.col("c") == 2, discount[1]).otherwise(discount[2])).otherwise(d)
         keyed = own.withColumn("h", F.shiftright("g", 8)).withColumn("d", d)
-        mass = keyed.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("left"))
-        joined = keyed.join(mass, "h")
+        mass = keyed.groupBy("k", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("left"))
+        joined = keyed.join(mass, ["k", "h"])
         own_part = (F.col("c") - F.col("d")) / F.col("total")
         if lower is None:
-            p = joined.select("g", (own_part + F.col("left") / 256).alias("p"))
+            p = joined.select("k", "g", (own_part + F.col("left") / 256).alias("p"))
         else:
-            low = lower.toDF("low", "q")
-            p = joined.withColumn("low", F.col("g").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))).join(low, "low", "left")
-            p = p.select("g", (own_part + F.col("left") * F.coalesce("q", F.lit(1 / 256))).alias("p"))
+            low = lower.toDF("k", "low", "q")
+            p = joined.withColumn("low", F.col("g").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))).join(low, ["k", "low"], "left")
+            p = p.select("k", "g", (own_part + F.col("left") * F.coalesce("q", F.lit(1 / 256))).alias("p"))
         lower = ws.stage(p, "probabilities")
-        rows.append(lower.select(F.lit(n).alias("n"), "g", F.log("p").cast("float").alias("v")))
-        rows.append(mass.select(F.lit(1 - n).alias("n"), F.col("h").alias("g"), F.log("left").cast("float").alias("v")).where(f"{n} > 1"))
+        rows.append(lower.select("k", F.lit(n).alias("n"), "g", F.log("p").cast("float").alias("v")))
+        rows.append(mass.select("k", F.lit(1 - n).alias("n"), F.col("h").alias("g"), F.log("left").cast("float").alias("v")).where(f"{n} > 1"))
         if n == 1:
-            rows.append(mass.select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.log(F.col("left") / 256).cast("float").alias("v")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return ws.stage(out, "model")
+            rows.append(mass.select("k", F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.log(F.col("left") / 256).cast("float").alias("v")))
+    return ws.stage(reduce(DataFrame.union, rows), "model")
 
 
 class _Table:
@@ -279,10 +280,14 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     trusted = trusted.where("text <> ''").join(broadcast_if_small(good), "doc_id", "left_semi")
     trusted = ws.stage(trusted.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).alias("fold")), "trusted-texts")
-    ngrams = [ws.stage(count_ngrams(trusted.where(F.col("fold") == k), order), "ngrams") for k in range(folds)]
+    # model k < folds counts all folds but k, model `folds` counts all
+    fold = reduce(DataFrame.union, [count_ngrams(trusted.where(F.col("fold") == k), order).withColumn("fold", F.lit(k)) for k in range(folds)])
+    into = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("fold"))
+    ngrams = ws.stage(fold.withColumn("k", F.explode(into)).groupBy("k", "g").agg(F.sum("c").alias("c")), "ngrams")
+    models = estimate(ngrams, ws, order)
     rates = []
     for k in range(folds):
-        others = shards(estimate(_summed(ngrams[:k] + ngrams[k + 1 :], ws), ws, order), order)
+        others = shards(models.where(F.col("k") == k), order)
         own = add_scores(trusted.where(F.col("fold") == k).select("text", "lang"), others)
         rates.append(ws.stage(own.select("lang", "__nll", "__bytes"), "held-out"))
         for part in others:
@@ -297,17 +302,14 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     limits = held.withColumn("r", rate).rollup("lang").agg(F.percentile_approx("r", quantile, 10_000).alias("q")).collect()
     of = {r.lang: r.q for r in limits if r.lang is not None}
     limit = _by_language(of, max(r.q for r in limits if r.lang is None))
-    parts = shards(estimate(_summed(ngrams, ws), ws, order), order)
+    parts = shards(models.where(F.col("k") == folds), order)
+    ws.only()  # the broadcast model is all that scoring needs
     scored = add_scores(docs, parts)
     empty = F.col("__bytes") == 0
     scored = scored.withColumns({"__perplexity": F.when(~empty, F.exp(F.col("__nll") / F.col("__bytes"))), "__threshold": F.exp(limit), "__keep": empty | (rate <= limit)})
     return scored.drop("__nll", "__bytes")
 
 
-def _summed(ngrams: list[DataFrame], ws: Workspace) -> DataFrame:
-    return ws.stage(reduce(DataFrame.union, ngrams).groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
-
-
 def _by_language(values: dict, other: float):
     lang = F.col("lang").cast("string")
     out = F.lit(other)
