@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# English month names by their first three letters, and the two-digit year cutoff.
+# English month names by their first three letters, the two-digit year cutoff, words for an
+# open end, and the forms in which a month is written, tried in this order: (form, pattern, groups of year and month).
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 CUTOFF = 39
-NAME = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+NAME = rf"(?:{MONTH})\.?"
+YEAR = r"(?:19|20)\d{2}"
+DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
 PRESENT = r"present|till\s+(?:date|now)|to\s*date|current|now|ongoing"
+SHORT = "month-yy"
+YEAR_ALONE = rf"(?<!\d){YEAR}(?!\d)"
+FORMS = (
+    ("month year", rf"({MONTH})\.?[\s.\-/,]*?({YEAR})", 2, 1),
+    ("month day year", rf"({MONTH})\.?\s*{DAY}(?:st|nd|rd|th)?[,\s]*({YEAR})", 2, 1),
+    ("day month year", rf"{DAY}(?:st|nd|rd|th)?\s+({MONTH})\.?[,\s]*({YEAR})", 2, 1),
+    ("month'yy", rf"({MONTH})\.?\s*[’']\s*(\d{{2}})(?!\d)", 2, 1),
+    (SHORT, rf"({MONTH})\.?\s*[-./]\s*(\d{{2}})(?!\d)", 2, 1),
+    ("number/year", rf"(?<!\d)(1[0-2]|0?[1-9])[\-/]({YEAR})(?!\d)", 2, 1),
+    ("year-number", rf"(?<!\d)({YEAR})[\-/](1[0-2]|0?[1-9])(?!\d)", 1, 2),
+)
 
 
 def index(year: Column, month: Column) -> Column:
@@ -41,7 +56,7 @@ def widen(i: Column, precision: Column, end: bool) -> Column:
 def month_number(name: Column) -> Column:
     """1..12 for a month name or its abbreviation (also sept), else null."""
     head = F.lower(F.substring(F.trim(name), 1, 3))
-    known = F.lower(F.trim(name)).rlike(f"^{NAME}$")
+    known = F.lower(F.trim(name)).rlike(f"^(?:{MONTH})$")
     return F.when(known, F.array_position(F.array(*(F.lit(m) for m in MONTHS)), head).cast("int"))
 
 
@@ -60,40 +75,44 @@ def _group(text: Column, pattern: str, i: int) -> Column:
 
 
 def parse_month_year(text: Column) -> Column:
-    """Month index of one written date, in a fixed order of seven forms; null if none or no such month."""
-    t = F.lower(F.trim(text))
-    forms = [
-        (rf"^({NAME})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(\d{{4}})$", 2, 1, "name"),
-        (rf"^\d{{1,2}}(?:st|nd|rd|th)?\s+({NAME})\.?,?\s+(\d{{4}})$", 2, 1, "name"),
-        (rf"^({NAME})\.?\s*['’]\s*(\d{{2}})$", 2, 1, "name2"),
-        (rf"^({NAME})\s*-\s*(\d{{2}})$", 2, 1, "name2"),
-        (r"^(\d{4})-(\d{1,2})$", 1, 2, "digits"),
-        (r"^(\d{1,2})\s*/\s*(\d{4})$", 2, 1, "digits"),
-        (rf"^({NAME})\.?,?\s+(\d{{4}})$", 2, 1, "name"),
-    ]
+    """Month index of the first of the written forms that occurs anywhere in text; null if none does."""
+    t = F.lower(text)
     out = []
-    for pattern, y, m, kind in forms:
+    for name, pattern, y, m in FORMS:
         year, month = _group(t, pattern, y), _group(t, pattern, m)
-        month = month.cast("int") if kind == "digits" else month_number(month)
-        year = expand_year(year) if kind == "name2" else year.cast("int")
-        out.append(F.when(month.between(1, 12), index(year, month)))
-    return F.coalesce(*out)
+        number = month.cast("int") if "number" in name else month_number(month)
+        found = index(expand_year(year) if name in (SHORT, "month'yy") else year.cast("int"), number)
+        out.append(F.when(~t.rlike(YEAR_ALONE), found) if name == SHORT else found)
+    # what has no two digits in a row has no form
+    return F.when(t.rlike(r"\d{2}"), F.coalesce(*out))
 
 
 def endpoint(text: Column, as_of: Column) -> Column:
-    """struct(i, precision): a date's month index; present is as_of; a bare year has precision year (January)."""
+    """struct(i, precision) of one written end: a word for the present is as_of, a bare year its January with
+    precision year, else the one date in the text; more than one date, or none, is null."""
     t = F.trim(text)
-    year = _group(t, r"^((?:19|20)\d{2})$", 1)
-    i = F.when(is_present(t), as_of).otherwise(F.coalesce(parse_month_year(t), index(year.cast("int"), F.lit(1))))
-    precision = F.when(i.isNull(), None).when(year.isNotNull(), "year").otherwise("month")
-    return F.struct(i.cast("int").alias("i"), precision.alias("precision"))
+    now = F.coalesce(F.lower(t).isin("present", "current", "now", "ongoing"), F.lit(False))
+    month = parse_month_year(t)
+    years = F.regexp_extract_all(t, F.lit(rf"(?<!\d)(?<![+@$₹].?){YEAR}(?!\d)(?!.?[@%])"), F.lit(0))
+    one = F.size(F.regexp_extract_all(t, F.lit(YEAR_ALONE), F.lit(0))) <= 1
+    year = F.when(month.isNull() & (F.size(years) == 1), index(F.get(years, F.lit(0)).cast("int"), F.lit(1)))
+    i = F.when(now, as_of).when(one, F.coalesce(month, year))
+    return F.struct(i.cast("int").alias("i"), F.when(i.isNull(), None).when(now | month.isNotNull(), "month").otherwise("year").alias("precision"))
 
 
 def comparable(text: Column) -> Column:
-    """YYYY-MM or YYYY for comparing dates; other non-empty text is tagged as invalid."""
-    t = F.trim(text)
-    year = _group(t, r"^(\d{4})$", 1)
-    return F.when(F.coalesce(t, F.lit("")) == "", None).when(is_present(t), "present").otherwise(F.coalesce(fmt(parse_month_year(t)), year, F.concat(F.lit("invalid:"), F.lower(t))))
+    """YYYY-MM, YYYY or present for comparing stored dates; an empty one is empty, anything else is tagged."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    year, number = _group(t, rf"^({YEAR})[-/.](\d{{1,2}})$", 1), _group(t, rf"^({YEAR})[-/.](\d{{1,2}})$", 2).cast("int")
+    first, second = _group(t, rf"^(\d{{1,2}})[-/.]({YEAR})$", 1).cast("int"), _group(t, rf"^(\d{{1,2}})[-/.]({YEAR})$", 2)
+    name = _group(t, rf"^([a-z]+)[\s,./-]*({YEAR})$", 1)
+    full = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+    known = F.when(name.isin(*full, *MONTHS, "sept"), month_number(name))
+    return (
+        F.when(t == "", "").when(t.isin("present", "current", "now", "till now", "till date", "ongoing"), "present")
+        .when(number.between(1, 12), F.format_string("%s-%02d", year, number)).when(first.between(1, 12), F.format_string("%s-%02d", second, first)).when(t.rlike(f"^{YEAR}$"), t)
+        .when(known.isNotNull(), F.format_string("%s-%02d", _group(t, rf"^([a-z]+)[\s,./-]*({YEAR})$", 2), known)).otherwise(F.concat(F.lit("invalid:"), t))
+    )
 
 
 def variants(i: Column) -> Column:

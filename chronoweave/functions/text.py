@@ -46,7 +46,8 @@ def clean_org(text: Column) -> Column:
 
 
 def strip_project_prefix(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(text, r"(?i)^\s*(?:#+\s*|\*+\s*)?project\s*(?:name|title)?\s*\d*\s*[:.\-–]+\s*", ""))
+    """'Project 2 - Name' and 'POC 1: Name' to Name; a bare number stays as it is."""
+    t = F.trim(F.regexp_replace(text, r"(?i)^\s*(?:project|poc)\s*[-#:]*\s*\d+\s*[:\-–.]?\s*", ""))
     return F.coalesce(F.nullif(t, F.lit("")), text)
 
 
@@ -94,9 +95,28 @@ def links(text: Column) -> Column:
 
 
 def url(text: Column) -> Column:
-    """Scheme, www, query, fragment and trailing slash off; lower case."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"^https?://(?:www\.)?", "")
-    return F.regexp_replace(F.regexp_replace(t, r"[?#].*$", ""), r"/+$", "")
+    """Scheme, www and trailing slashes off; lower case."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"^https?://", "")
+    return F.regexp_replace(F.regexp_replace(t, r"^www\.", ""), r"/+$", "")
+
+
+# Other spellings of skills.
+SKILL_ALIASES = {
+    "nodejs": "node.js", "node js": "node.js", "reactjs": "react", "react js": "react", "vuejs": "vue", "vue js": "vue", "nextjs": "next.js", "next js": "next.js",
+    "restapi": "rest api", "rest apis": "rest api", "postgresql": "postgres", "postgressql": "postgres", "mongodb": "mongo", "k8s": "kubernetes", "gcp": "google cloud", "aws": "amazon web services",
+}
+
+
+def skill(text: Column) -> Column:
+    """Lower case, other spellings replaced, a version number at the end off."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    known = F.create_map(*(F.lit(x) for pair in SKILL_ALIASES.items() for x in pair))
+    return F.regexp_replace(F.coalesce(F.try_element_at(known, t), t), r"\s+\d+(\.\d+)*$", "")
+
+
+def skills(items: Column) -> Column:
+    """Normalised skills without empty ones and repeats, in order of first mention."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), skill), lambda x: x != ""))
 
 
 def vocabulary_hits(text: Column, words: list[str]) -> Column:
@@ -159,11 +179,12 @@ def is_degree(text: Column) -> Column:
 
 
 def is_fragment(text: Column) -> Column:
-    """Part of a sentence: lower-case or punctuation start, leading preposition, or long with few capitals."""
-    t = F.trim(text)
-    words = F.split(t, r"\s+")
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    return t.rlike(r"^[a-z,;.]") | t.rlike(r"(?i)^(?:for|with|from|by|in|on|of|to|at|as)\s") | ((F.size(words) > 12) & (capital < 0.4 * F.size(words)))
+    """Part of a sentence: starts with a lower-case letter, a mark or a joining word, or is long and mostly lower case."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(t, r"\s+"), lambda w: w.rlike(r"\p{L}"))
+    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    long = (F.size(F.split(t, r"\s+")) > 12) & (F.size(words) > 0) & (capital < 0.4 * F.size(words))
+    return (t != "") & (t.rlike(r"^[\p{Ll},.;:-]") | t.rlike(r"(?i)^(?:and|with|or|in|at|for)(?:\s|$)") | long)
 
 
 def is_heading(line: Column) -> Column:
@@ -181,9 +202,10 @@ def source_variants_found(text: Column, variants: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and hidden parts out, a newline at each block end, entities decoded."""
+    """Visible text: scripts, styles, comments and parts marked hidden (up to their first closing tag) out, a newline at each block end, entities decoded."""
     t = F.regexp_replace(html, r"(?is)<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\shidden\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/section|/article|/table)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -55,38 +55,47 @@ def coverage(events: DataFrame) -> DataFrame:
     return intervals.total_months(usable(events), ["doc_id"])
 
 
+def _placed() -> Column:
+    return F.expr("status = 'CONFIRMED' and s is not null and e is not null")
+
+
 def primary_gaps(events: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
-    """doc_id, state, confidence, before_id, after_id, s, e, months, scope.
+    """doc_id, state, confidence, before_id, after_id, s, e, months, scope, uncertain, unplaced.
 
     A document has its gaps, or one row that says that there is none or that the evidence is too thin:
-    fewer than two dated core events, uncertain work or project events, or incomplete reading.
+    fewer than two dated core events, uncertain work or project events, or incomplete reading. uncertain are
+    the ids of the latter events, unplaced those of all core events without a confirmed tenure.
     """
     core = events.where(F.col("type").isin(*CORE))
-    dated = usable(core)
+    unsure = (F.col("type").isin(*WORK) & (F.col("status") != "CONFIRMED")) | ((F.col("type") == "PROJECT") & (F.col("status") == "AMBIGUOUS"))
+    ids = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("id"))))
     flags = core.groupBy("doc_id").agg(
-        F.count_if(F.expr("status = 'CONFIRMED' and s is not null and e is not null")).alias("n"),
-        F.bool_or((F.col("type").isin(*WORK) & (F.col("status") != "CONFIRMED")) | ((F.col("type") == "PROJECT") & (F.col("status") == "AMBIGUOUS"))).alias("uncertain"),
-        F.bool_or(F.expr("status = 'CONFIRMED' and s is not null and e is not null and precision <> 'month'")).alias("coarse"),
-    )
+        F.count_if(_placed()).alias("n"), F.bool_or(F.col("precision") != "month").alias("coarse"),
+        ids(unsure).alias("uncertain"), ids(~F.coalesce(_placed(), F.lit(False))).alias("unplaced"),
+    )
     flags = events.select("doc_id").distinct().join(flags, "doc_id", "left")
     if incomplete is not None:
         flags = flags.join(incomplete.select("doc_id").distinct().withColumn("inc", F.lit(True)), "doc_id", "left")
     else:
         flags = flags.withColumn("inc", F.lit(False))
-    thin = (F.coalesce("n", F.lit(0)) < 2) | F.coalesce("uncertain", F.lit(False)) | F.coalesce("inc", F.lit(False))
-    flags = flags.select("doc_id", thin.alias("thin"), F.coalesce("coarse", F.lit(False)).alias("coarse"))
-    found = intervals.gaps(dated, ["doc_id"])
-    conf = dated.select("doc_id", "id", "confidence")
-    found = found.join(conf.toDF("doc_id", "before_id", "cb"), ["doc_id", "before_id"], "left").join(conf.toDF("doc_id", "after_id", "ca"), ["doc_id", "after_id"], "left")
+    thin = (F.coalesce("n", F.lit(0)) < 2) | (F.size("uncertain") > 0) | F.coalesce("inc", F.lit(False))
+    flags = flags.select("doc_id", F.coalesce(thin, F.lit(True)).alias("thin"), F.coalesce("coarse", F.lit(False)).alias("coarse"), "uncertain", "unplaced")
+    dated = usable(core)
+    found = intervals.gaps(dated, ["doc_id"], carry="confidence")
     work = intervals.total_months(dated.where(F.col("type").isin(*WORK)), ["doc_id"]).withColumnRenamed("months", "w")
     every = intervals.total_months(dated, ["doc_id"]).withColumnRenamed("months", "a")
-    scope = every.join(work, "doc_id", "left").select("doc_id", F.when(F.col("w") == F.col("a"), "employment").otherwise("all").alias("scope"))
+    scope = every.join(work, "doc_id", "left").select("doc_id", F.when(F.col("w") == F.col("a"), "employment").otherwise("all_dated_activity").alias("scope"))
     joined = flags.join(found, "doc_id", "left").join(scope, "doc_id", "left")
     gap = ~F.col("thin") & F.col("months").isNotNull()
     state = F.when(gap, "POTENTIAL_GAP").when(F.col("thin") | F.col("coarse"), "INSUFFICIENT_EVIDENCE").otherwise("NO_GAP_DETECTED")
-    confidence = F.when(gap, gap_confidence(F.col("cb"), F.col("ca"), F.lit(True))).when(F.col("thin") | F.col("coarse"), 0.4).otherwise(0.9)
+    confidence = F.when(gap, gap_confidence(F.col("before_confidence"), F.col("after_confidence"), F.lit(True))).when(F.col("thin") | F.col("coarse"), 0.4).otherwise(0.9)
     only = lambda c: F.when(gap, F.col(c)).alias(c)
-    return joined.select("doc_id", state.alias("state"), confidence.alias("confidence"), *(only(c) for c in ("before_id", "after_id", "s", "e", "months", "scope"))).distinct()
+    return joined.select("doc_id", state.alias("state"), confidence.alias("confidence"), *(only(c) for c in ("before_id", "after_id", "s", "e", "months", "scope")), "uncertain", "unplaced").distinct()
+
+
+def employment_only_gaps(events: DataFrame) -> DataFrame:
+    """The other reading of a timeline: gaps between work and education tenures, dated projects left out."""
+    return intervals.gaps(usable(events.where(F.col("type").isin(*WORK, "EDUCATION"))), ["doc_id"])
 
 
 def period_state() -> Column:
@@ -121,41 +130,63 @@ def category_breaks(periods: DataFrame) -> DataFrame:
     return intervals.gaps(clean.withColumn("precision", F.lit("month")), ["doc_id", "category"])
 
 
+# States of a written period, and reasons of an association.
+PERIOD_STATES = ("month_range", "year_range", "single_date", "duration_only", "undated", "ambiguous", "invalid")
+SAME_LINE, PROXIMITY, PAIR, MULTI, NO_DATE = "ASSOC_SAME_LINE", "ASSOC_PROXIMITY", "ASSOC_DATE_PAIR", "ASSOC_AMBIGUOUS_MULTI", "ASSOC_UNRESOLVED_NO_DATE"
+
+
 def category_analysis(periods: DataFrame) -> DataFrame:
-    """Entries, dated entries, represented months and overlap by (doc_id, category)."""
+    """By (doc_id, category): entries, dated ones (month and year ranges), represented months, overlap, whether
+    all entries are month ranges, and the number of entries in each state."""
     ranged = periods.where("state = 'month_range'")
     covered = intervals.total_months(ranged, ["doc_id", "category"]).withColumnRenamed("months", "represented")
-    sums = periods.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.expr("state = 'month_range'")).alias("dated"), F.sum(F.expr("if(state = 'month_range', e - s + 1, 0)")).alias("total"))
-    return sums.join(covered, ["doc_id", "category"], "left").select("doc_id", "category", "entries", "dated", F.coalesce("represented", F.lit(0)).alias("represented"), (F.col("total") - F.coalesce("represented", F.lit(0))).alias("overlap"))
+    count = lambda *states: F.count_if(F.col("state").isin(*states))
+    sums = periods.groupBy("doc_id", "category").agg(
+        F.count(F.lit(1)).alias("entries"), count("month_range", "year_range").alias("dated"), F.sum(F.expr("if(state = 'month_range', e - s + 1, 0)")).alias("total"),
+        F.bool_and(F.col("state") == "month_range").alias("precise"), *(count(x).alias(x) for x in PERIOD_STATES),
+    )
+    out = sums.join(covered, ["doc_id", "category"], "left")
+    return out.select("doc_id", "category", "entries", "dated", F.coalesce("represented", F.lit(0)).alias("represented"), (F.col("total") - F.coalesce("represented", F.lit(0))).alias("overlap"), "precise", *PERIOD_STATES)
 
 
-def associate(mentions: DataFrame) -> DataFrame:
+def associate(mentions: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Status of every date mention in its entry: (entry_id, id, ord, is_range, s, e) to status, confidence, reason.
 
     One range decides; of several, the first is likelier; without one, a single date or an ordered pair counts.
+    A column in_entry tells whether the mention stands on a line of the entry itself (it does if there is no
+    such column). Entries (entry_id) without a mention get a row without id.
     """
+    inside = F.col("in_entry") if "in_entry" in mentions.columns else F.lit(True)
     w = Window.partitionBy("entry_id")
     at = w.orderBy("ord")
     m = mentions.withColumns({"ranges": F.sum(F.col("is_range").cast("int")).over(w), "n": F.count(F.lit(1)).over(w)})
     m = m.withColumns({"range_no": F.sum(F.col("is_range").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)), "first_s": F.first("s").over(at), "last_e": F.last("e").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     kept = m.where("ranges = 0 or is_range")
-    pair = (F.col("n") == 2) & (F.col("first_s") < F.col("last_e"))
-    status = F.when(F.col("ranges") == 1, "CONFIRMED").when(F.col("ranges") > 1, "AMBIGUOUS").when((F.col("n") == 1) | pair, "CONFIRMED").otherwise("AMBIGUOUS")
-    confidence = F.when(F.col("ranges") == 1, 0.9).when(F.col("ranges") > 1, F.when(F.col("range_no") == 1, 0.6).otherwise(0.5)).when((F.col("n") == 1) | pair, 0.85).otherwise(0.3)
-    reason = F.when(F.col("ranges") == 1, "ASSOC_SINGLE_RANGE").when(F.col("ranges") > 1, "ASSOC_MULTIPLE_RANGES").when(F.col("n") == 1, "ASSOC_SINGLE_DATE").when(pair, "ASSOC_DATE_PAIR").otherwise("ASSOC_UNCLEAR")
-    return kept.select("entry_id", "id", status.alias("status"), confidence.alias("confidence"), reason.alias("reason"))
+    pair = (F.col("n") == 2) & (F.col("first_s") <= F.col("last_e"))
+    ranges, alone = F.col("ranges"), F.col("n") == 1
+    where = F.when(inside, SAME_LINE).otherwise(PROXIMITY)
+    status = F.when(ranges == 1, "CONFIRMED").when(ranges > 1, "AMBIGUOUS").when(alone | pair, "CONFIRMED").otherwise("AMBIGUOUS")
+    confidence = F.when(ranges == 1, 0.9).when(ranges > 1, F.when(F.col("range_no") == 1, 0.6).otherwise(0.5)).when(alone | pair, 0.85).otherwise(0.3)
+    reason = F.when(ranges == 1, where).when(ranges > 1, MULTI).when(alone, where).when(pair, PAIR).otherwise(NO_DATE)
+    out = kept.select("entry_id", "id", status.alias("status"), confidence.alias("confidence"), reason.alias("reason"))
+    if entries is None:
+        return out
+    bare = entries.select("entry_id").join(mentions.select("entry_id").distinct(), "entry_id", "left_anti")
+    return out.unionByName(bare.select("entry_id", F.lit("UNRESOLVED").alias("status"), F.lit(0.3).alias("confidence"), F.lit(NO_DATE).alias("reason")), allowMissingColumns=True)
 
 
 def deduplicate(events: DataFrame, literal: bool = False) -> DataFrame:
-    """One event of each title, organisation and tenure: dated before undated, confirmed first, then the surest,
-    then the first. literal leaves the tenure out of the key, which also merges separate tenures."""
-    key = ["doc_id", "type", F.lower(F.coalesce("title", F.lit(""))), F.coalesce("org", F.lit(""))]
+    """One event of each type, title and organisation (trimmed, case apart) and tenure: dated before undated;
+    of dated ones the confirmed first, then the surest, then the first; of undated ones the surest, then the
+    first. literal leaves the tenure out of the key, which also merges separate tenures."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    key = ["doc_id", "type", plain("title"), plain("org")]
     dated = F.col("s").isNotNull() & F.col("e").isNotNull()
     has = F.max(dated.cast("int")).over(Window.partitionBy(*key))
     kept = events.withColumn("__has", has).where(dated | (F.col("__has") == 0)).drop("__has")
     if not literal:
         key += ["s", "e"]
-    order = Window.partitionBy(*key).orderBy(F.when(F.col("status") == "CONFIRMED", 0).otherwise(1), F.desc("confidence"), "id")
+    order = Window.partitionBy(*key).orderBy(F.when(dated & (F.col("status") != "CONFIRMED"), 1).otherwise(0), F.desc("confidence"), "id")
     return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
@@ -167,12 +198,24 @@ def mark_conflicts(projects: DataFrame, tenures: DataFrame) -> DataFrame:
     return j.withColumns({"confidence": F.when(F.col("conflict"), F.round(F.col("confidence") * 0.7, 3)).otherwise(F.col("confidence")), "reason": F.when(F.col("conflict"), "DATE_CONFLICT")})
 
 
-def place_projects(projects: DataFrame, tenures: DataFrame) -> DataFrame:
-    """Dated projects become events; undated stubs inside a document that has a dated one are dropped."""
-    dated = projects.where("s is not null and e is not null and s <= e")
-    placed = dated.select("doc_id", "id", F.lit("PROJECT").alias("type"), "title", F.col("org"), "s", "e", "precision", F.lit("CONFIRMED").alias("status"), F.when(F.col("ocr"), 0.5).otherwise(0.85).alias("confidence"))
-    rest = projects.where("s is null or e is null or s > e").join(dated.select("doc_id").distinct(), "doc_id", "left_anti")
-    return placed.unionByName(rest.select("doc_id", "id", F.lit("PROJECT").alias("type"), "title", "org", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), "precision", F.lit("UNRESOLVED").alias("status"), F.lit(0.3).alias("confidence")))
+def place_projects(events: DataFrame, projects: DataFrame) -> DataFrame:
+    """Events together with those that dated project blocks make.
+
+    events and projects have block_ids. A project with a tenure becomes an event, ambiguous if it was read by
+    OCR (column ocr), unless a dated project event already stands on one of its blocks. Undated project events
+    all of whose blocks belong to dated, confirmed ones are dropped.
+    """
+    own = ["doc_id", "id", "type", "title", "org", "s", "e", "precision", "status", "confidence", "block_ids"]
+    dated = F.col("s").isNotNull() & F.col("e").isNotNull()
+    block = lambda df: df.select("doc_id", "id", F.explode("block_ids").alias("block"))
+    held = block(events.where((F.col("type") == "PROJECT") & dated)).select("doc_id", "block").distinct()
+    known = block(projects).join(held, ["doc_id", "block"], "left_semi").select("doc_id", "id").distinct()
+    new = projects.where(dated & (F.col("s") <= F.col("e"))).join(known, ["doc_id", "id"], "left_anti")
+    new = new.withColumns({"type": F.lit("PROJECT"), "status": F.when(F.col("ocr"), "AMBIGUOUS").otherwise("CONFIRMED"), "confidence": F.when(F.col("ocr"), 0.5).otherwise(0.85)})
+    every = events.select(*own).unionByName(new.select(*own))
+    covered = block(every.where((F.col("type") == "PROJECT") & dated & (F.col("status") == "CONFIRMED"))).groupBy("doc_id").agg(F.collect_set("block").alias("__covered"))
+    stub = (F.col("type") == "PROJECT") & ~dated & F.col("__covered").isNotNull() & (F.size(F.array_except("block_ids", "__covered")) == 0)
+    return every.join(covered, "doc_id", "left").where(~F.coalesce(stub, F.lit(False))).drop("__covered")
 
 
 def quality(events: DataFrame) -> DataFrame:

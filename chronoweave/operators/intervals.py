@@ -43,20 +43,23 @@ def uncovered(iv: DataFrame, key: list[str], spans: DataFrame) -> DataFrame:
     return left.union(tail).union(bare)
 
 
-def gaps(iv: DataFrame, key: list[str]) -> DataFrame:
+def gaps(iv: DataFrame, key: list[str], carry: str | None = None) -> DataFrame:
     """Walk by start with a running maximum end; ties on it keep the earlier event.
 
-    Columns: key, before_id, after_id, s, e, months. iv has id and precision; a hole between two events is
-    a gap only if both are of month precision.
+    Columns: key, before_id, after_id, s, e, months, and with carry that column of both events as before_...
+    and after_.... iv has id and precision; a hole between two events is a gap only if both are of month
+    precision.
     """
     iv = iv.where("s <= e")
     at = Window.partitionBy(*key).orderBy("s", "e", "id")
     numbered = iv.withColumn("__n", F.row_number().over(at))
-    reach = F.max(F.struct("e", (-F.col("__n")).alias("n"), "id", "precision")).over(Window.partitionBy(*key).orderBy("__n").rowsBetween(Window.unboundedPreceding, -1))
+    more = [carry] if carry else []
+    reach = F.max(F.struct("e", (-F.col("__n")).alias("n"), "id", "precision", *more)).over(Window.partitionBy(*key).orderBy("__n").rowsBetween(Window.unboundedPreceding, -1))
     seen = numbered.withColumn("__m", reach)
     months = F.col("s") - F.col("__m.e") - 1
     found = seen.where((months > 0) & (F.col("precision") == "month") & (F.col("__m.precision") == "month"))
-    return found.select(*key, F.col("__m.id").alias("before_id"), F.col("id").alias("after_id"), (F.col("__m.e") + 1).alias("s"), (F.col("s") - 1).alias("e"), months.alias("months"))
+    sides = [x for c in more for x in (F.col(f"__m.{c}").alias(f"before_{c}"), F.col(c).alias(f"after_{c}"))]
+    return found.select(*key, F.col("__m.id").alias("before_id"), F.col("id").alias("after_id"), (F.col("__m.e") + 1).alias("s"), (F.col("s") - 1).alias("e"), months.alias("months"), *sides)
 
 
 def neighbour_gaps(iv: DataFrame, key: list[str], by: str = "e") -> DataFrame:

@@ -55,7 +55,13 @@ def g5(spark, d):
     return o.where("o_orderkey % 2 = 0").select(F.col("o_orderpriority").alias("v")).intersectAll(o.where("o_orderkey % 3 = 0").select("o_orderpriority"))
 
 
-@query("c11_greedy_matching")
+GREEDY = """ed AS (SELECT p.doc_id, p.id AS i, q.id AS j, (p.s = q.s)::INT + (p.e = q.e)::INT AS score FROM t p JOIN t q ON p.doc_id = q.doc_id AND p.id % 2 = 0 AND q.id % 2 = 1 WHERE p.s = q.s OR p.e = q.e),
+en AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, j) AS n FROM ed),
+st(doc_id, n, a, b) AS (SELECT DISTINCT doc_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM en UNION ALL SELECT en.doc_id, en.n, CASE WHEN list_contains(a, i) OR list_contains(b, j) THEN a ELSE list_append(a, i) END, CASE WHEN list_contains(a, i) OR list_contains(b, j) THEN b ELSE list_append(b, j) END FROM st JOIN en ON en.doc_id = st.doc_id AND en.n = st.n + 1),
+fin AS (SELECT doc_id, a, b FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1), pr AS (SELECT doc_id, unnest(a) AS i, unnest(b) AS j FROM fin)"""
+
+
+@query("c11_greedy_matching", f"WITH RECURSIVE {T}, {GREEDY} SELECT pr.doc_id, pr.i, pr.j, score FROM pr JOIN ed ON ed.i = pr.i AND ed.j = pr.j")
 def c11(spark, d):
     t = timeline(spark, d)
     p = t.where("id % 2 = 0").select("doc_id", F.col("id").alias("i"), "s", "e")

@@ -68,16 +68,22 @@ def k4(spark, d):
     return events.coverage(timeline(spark, d))
 
 
-@query("k5_primary_gaps", f"""WITH {T}, {WIDE}, {walk('u')}, f AS (SELECT doc_id, count(*) FILTER (status = 'CONFIRMED') < 2 OR bool_or((type = 'EMPLOYMENT' AND status <> 'CONFIRMED') OR (type = 'PROJECT' AND status = 'AMBIGUOUS')) AS thin,
- bool_or(status = 'CONFIRMED' AND precision <> 'month') AS coarse FROM t GROUP BY 1),
+@query("k5_primary_gaps", f"""WITH {T}, {WIDE}, {walk('u')}, f AS (SELECT doc_id, count(*) FILTER (status = 'CONFIRMED') < 2 OR bool_or((type = 'EMPLOYMENT' AND status <> 'CONFIRMED') OR (type = 'PROJECT' AND status = 'AMBIGUOUS')) AS thin, bool_or(precision <> 'month') AS coarse,
+ coalesce(string_agg(id, ',' ORDER BY id) FILTER (type IN ('EMPLOYMENT', 'PROJECT') AND status <> 'CONFIRMED'), '') AS uncertain, coalesce(string_agg(id, ',' ORDER BY id) FILTER (status <> 'CONFIRMED'), '') AS unplaced FROM t GROUP BY 1),
 {islands('u', name='ia')}, {islands("(SELECT * FROM u WHERE type = 'EMPLOYMENT')", name='ie')},
-sc AS (SELECT a.doc_id, CASE WHEN a.n = e.n THEN 'employment' ELSE 'all' END AS scope FROM (SELECT doc_id, sum(e - s + 1) AS n FROM ia GROUP BY 1) a LEFT JOIN (SELECT doc_id, sum(e - s + 1) AS n FROM ie GROUP BY 1) e ON a.doc_id = e.doc_id),
-j AS (SELECT f.doc_id, thin, coarse, NOT thin AND w.months IS NOT NULL AS gap, before_id, after_id, w.s, w.e, w.months, scope, b.confidence AS cb, c.confidence AS ca FROM f LEFT JOIN w ON f.doc_id = w.doc_id LEFT JOIN sc ON f.doc_id = sc.doc_id LEFT JOIN t b ON b.id = before_id LEFT JOIN t c ON c.id = after_id)
+sc AS (SELECT a.doc_id, CASE WHEN a.n = e.n THEN 'employment' ELSE 'all_dated_activity' END AS scope FROM (SELECT doc_id, sum(e - s + 1) AS n FROM ia GROUP BY 1) a LEFT JOIN (SELECT doc_id, sum(e - s + 1) AS n FROM ie GROUP BY 1) e ON a.doc_id = e.doc_id),
+j AS (SELECT f.*, NOT thin AND w.months IS NOT NULL AS gap, before_id, after_id, w.s, w.e, w.months, scope, b.confidence AS cb, c.confidence AS ca FROM f LEFT JOIN w ON f.doc_id = w.doc_id LEFT JOIN sc ON f.doc_id = sc.doc_id LEFT JOIN t b ON b.id = before_id LEFT JOIN t c ON c.id = after_id)
 SELECT DISTINCT doc_id, CASE WHEN gap THEN 'POTENTIAL_GAP' WHEN thin OR coarse THEN 'INSUFFICIENT_EVIDENCE' ELSE 'NO_GAP_DETECTED' END AS state,
  CASE WHEN gap THEN round(least(cb, ca), 3) WHEN thin OR coarse THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence,
- CASE WHEN gap THEN before_id END AS before_id, CASE WHEN gap THEN after_id END AS after_id, CASE WHEN gap THEN s END AS s, CASE WHEN gap THEN e END AS e, CASE WHEN gap THEN months END AS months, CASE WHEN gap THEN scope END AS scope FROM j""")
+ CASE WHEN gap THEN before_id END AS before_id, CASE WHEN gap THEN after_id END AS after_id, CASE WHEN gap THEN s END AS s, CASE WHEN gap THEN e END AS e, CASE WHEN gap THEN months END AS months, CASE WHEN gap THEN scope END AS scope, uncertain, unplaced FROM j""")
 def k5(spark, d):
-    return events.primary_gaps(timeline(spark, d))
+    g = events.primary_gaps(timeline(spark, d))
+    return g.withColumns({c: F.array_join(c, ",") for c in ("uncertain", "unplaced")})
+
+
+@query("k5b_employment_only_gaps", f"WITH {T}, {WIDE}, x AS (SELECT * FROM u WHERE type <> 'PROJECT'), {walk('x')} SELECT doc_id, before_id, after_id, s, e, months FROM w")
+def k5b(spark, d):
+    return events.employment_only_gaps(timeline(spark, d))
 
 
 def periods(spark, d):
@@ -104,8 +110,11 @@ def k7(spark, d):
     return events.category_breaks(periods(spark, d))
 
 
+HISTOGRAM = ", ".join(f"count(*) FILTER (state = '{x}') AS {x}" for x in events.PERIOD_STATES)
+
+
 @query("d2_category_analysis", f"""WITH {T}, {P}, {islands("(SELECT * FROM p WHERE state = 'month_range')", 'doc_id, category')}, r AS (SELECT doc_id, category, sum(e - s + 1) AS n FROM i GROUP BY ALL)
-SELECT p.doc_id, p.category, count(*) AS entries, count(*) FILTER (state = 'month_range') AS dated, coalesce(any_value(r.n), 0)::BIGINT AS represented, (sum(CASE WHEN state = 'month_range' THEN e - s + 1 ELSE 0 END) - coalesce(any_value(r.n), 0))::BIGINT AS overlap
+SELECT p.doc_id, p.category, count(*) AS entries, count(*) FILTER (state IN ('month_range', 'year_range')) AS dated, coalesce(any_value(r.n), 0)::BIGINT AS represented, (sum(CASE WHEN state = 'month_range' THEN e - s + 1 ELSE 0 END) - coalesce(any_value(r.n), 0))::BIGINT AS overlap, bool_and(state = 'month_range') AS precise, {HISTOGRAM}
 FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.category = r.category GROUP BY p.doc_id, p.category""")
 def d2(spark, d):
     return events.category_analysis(periods(spark, d))
@@ -155,16 +164,19 @@ def c6(spark, d):
 
 @query("k10_date_association", """WITH m AS (SELECT l_orderkey AS entry_id, l_linenumber AS ord, (l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10) AS id, l_returnflag = 'A' AS r, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1),
 x AS (SELECT *, s + 3 AS e, sum(r::INT) OVER w AS nr, count(*) OVER w AS n, sum(r::INT) OVER (PARTITION BY entry_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS rn, first(s) OVER (PARTITION BY entry_id ORDER BY ord) AS fs, last(s + 3) OVER (PARTITION BY entry_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS le FROM m WINDOW w AS (PARTITION BY entry_id))
-SELECT entry_id, id, CASE WHEN nr = 1 THEN 'CONFIRMED' WHEN nr > 1 THEN 'AMBIGUOUS' WHEN n = 1 OR (n = 2 AND fs < le) THEN 'CONFIRMED' ELSE 'AMBIGUOUS' END AS status,
- CASE WHEN nr = 1 THEN 0.9 WHEN nr > 1 THEN CASE WHEN rn = 1 THEN 0.6 ELSE 0.5 END WHEN n = 1 OR (n = 2 AND fs < le) THEN 0.85 ELSE 0.3 END::DOUBLE AS confidence,
- CASE WHEN nr = 1 THEN 'ASSOC_SINGLE_RANGE' WHEN nr > 1 THEN 'ASSOC_MULTIPLE_RANGES' WHEN n = 1 THEN 'ASSOC_SINGLE_DATE' WHEN n = 2 AND fs < le THEN 'ASSOC_DATE_PAIR' ELSE 'ASSOC_UNCLEAR' END AS reason FROM x WHERE nr = 0 OR r""")
+SELECT entry_id, id, CASE WHEN nr = 1 THEN 'CONFIRMED' WHEN nr > 1 THEN 'AMBIGUOUS' WHEN n = 1 OR (n = 2 AND fs <= le) THEN 'CONFIRMED' ELSE 'AMBIGUOUS' END AS status,
+ CASE WHEN nr = 1 THEN 0.9 WHEN nr > 1 THEN CASE WHEN rn = 1 THEN 0.6 ELSE 0.5 END WHEN n = 1 OR (n = 2 AND fs <= le) THEN 0.85 ELSE 0.3 END::DOUBLE AS confidence,
+ CASE WHEN nr = 1 OR (nr = 0 AND n = 1) THEN CASE WHEN id % 10 < 5 THEN 'ASSOC_SAME_LINE' ELSE 'ASSOC_PROXIMITY' END WHEN nr > 1 THEN 'ASSOC_AMBIGUOUS_MULTI' WHEN n = 2 AND fs <= le THEN 'ASSOC_DATE_PAIR' ELSE 'ASSOC_UNRESOLVED_NO_DATE' END AS reason FROM x WHERE nr = 0 OR r
+UNION ALL SELECT -o_orderkey, NULL, 'UNRESOLVED', 0.3, 'ASSOC_UNRESOLVED_NO_DATE' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey > 0""")
 def k10(spark, d):
     l = table(spark, d, "lineitem")
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     s = months.of_date(F.col("l_shipdate"))
     m = l.withColumn("i", F.row_number().over(first)).where("i = 1")
     m = m.select(F.col("l_orderkey").alias("entry_id"), F.col("l_linenumber").alias("ord"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("id"), (F.col("l_returnflag") == "A").alias("is_range"), s.alias("s"), (s + 3).alias("e"))
-    return events.associate(m)
+    # a pair may begin and end in one month; entries below zero have no mention
+    entries = m.select("entry_id").union(table(spark, d, "orders").where("o_orderkey % 7 = 0 and o_orderkey > 0").select(-F.col("o_orderkey")))
+    return events.associate(m.withColumn("in_entry", F.col("id") % 10 < 5), entries.distinct())
 
 
 @query("k11_conflicts", f"""WITH {T}, x AS (SELECT p.id, q.id AS q, p.s < q.s OR p.e > q.e AS c, row_number() OVER (PARTITION BY p.id ORDER BY least(p.e, q.e) - greatest(p.s, q.s) DESC, q.s, q.e, q.id) AS n FROM t p JOIN t q ON p.doc_id = q.doc_id AND p.type = 'PROJECT' AND q.type = 'EMPLOYMENT' AND p.s <= q.e AND q.s <= p.e AND p.status = 'CONFIRMED' AND q.status = 'CONFIRMED')
@@ -174,23 +186,38 @@ def k11(spark, d):
     return events.mark_conflicts(t.where("type = 'PROJECT'"), t.where("type = 'EMPLOYMENT'")).select("id", "parent_id", "conflict", "confidence", "reason")
 
 
-@query("k15_deduplicate", f"WITH {T} SELECT id FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, type, lower(title), org, s, e ORDER BY CASE WHEN status = 'CONFIRMED' THEN 0 ELSE 1 END, confidence DESC, id) = 1")
+FACTS = """fx AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN ' ' || upper(title) || ' ' ELSE title END AS title, CASE WHEN id % 3 = 0 THEN lower(org) || ' ' ELSE org END AS org, CASE WHEN id % 5 = 0 THEN NULL ELSE e END AS e) FROM t),
+fk AS (SELECT *, lower(trim(title)) AS kt, lower(trim(org)) AS ko, e IS NOT NULL AS dated FROM fx), fh AS (SELECT *, max(dated::INT) OVER (PARTITION BY doc_id, type, kt, ko) AS has FROM fk),
+fd AS (SELECT * FROM fh WHERE dated OR has = 0)"""
+
+
+def facts(spark, d):
+    """The same facts in several spellings, some without an end."""
+    k = F.col("id")
+    return timeline(spark, d).withColumns({"title": F.when(k % 2 == 0, F.concat(F.lit(" "), F.upper("title"), F.lit(" "))).otherwise(F.col("title")), "org": F.when(k % 3 == 0, F.concat(F.lower("org"), F.lit(" "))).otherwise(F.col("org")), "e": F.when(k % 5 != 0, F.col("e"))})
+
+
+@query("k15_deduplicate", f"WITH {T}, {FACTS} SELECT id FROM fd QUALIFY row_number() OVER (PARTITION BY doc_id, type, kt, ko, s, e ORDER BY CASE WHEN dated AND status <> 'CONFIRMED' THEN 1 ELSE 0 END, confidence DESC, id) = 1")
 def k15(spark, d):
-    return events.deduplicate(timeline(spark, d)).select("id")
+    return events.deduplicate(facts(spark, d)).select("id")
 
 
-@query("d29_deduplicate_literal", f"WITH {T} SELECT id FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, type, lower(title), org ORDER BY CASE WHEN status = 'CONFIRMED' THEN 0 ELSE 1 END, confidence DESC, id) = 1")
+@query("d29_deduplicate_literal", f"WITH {T}, {FACTS} SELECT id FROM fd QUALIFY row_number() OVER (PARTITION BY doc_id, type, kt, ko ORDER BY CASE WHEN dated AND status <> 'CONFIRMED' THEN 1 ELSE 0 END, confidence DESC, id) = 1")
 def d29(spark, d):
-    return events.deduplicate(timeline(spark, d), literal=True).select("id")
+    return events.deduplicate(facts(spark, d), literal=True).select("id")
 
 
-@query("k16_project_periods", f"""WITH {T}, p AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE e END AS x FROM t WHERE type = 'PROJECT')
-SELECT id, s, x AS e, 'CONFIRMED' AS status, CASE WHEN id % 3 = 0 THEN 0.5 ELSE 0.85 END::DOUBLE AS confidence FROM p WHERE x IS NOT NULL
-UNION ALL SELECT id, NULL, NULL, 'UNRESOLVED', 0.3 FROM p WHERE x IS NULL AND doc_id NOT IN (SELECT doc_id FROM p WHERE x IS NOT NULL)""")
+@query("k16_project_periods", f"""WITH {T}, ev AS (SELECT doc_id, id, type, s, CASE WHEN id % 5 = 0 THEN NULL ELSE e END AS e, CASE WHEN id % 5 = 0 THEN 'UNRESOLVED' ELSE status END AS status, confidence, [id % 6, id % 4] AS b FROM t WHERE type <> 'EDUCATION'),
+pr AS (SELECT doc_id, id, s, e, id % 3 = 0 AS ocr, [id % 6, id % 10] AS b FROM t WHERE type = 'EDUCATION'),
+nw AS (SELECT * FROM pr WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.doc_id = pr.doc_id AND ev.type = 'PROJECT' AND ev.e IS NOT NULL AND list_has_any(ev.b, pr.b))),
+al AS (SELECT * FROM ev UNION ALL SELECT doc_id, id, 'PROJECT', s, e, CASE WHEN ocr THEN 'AMBIGUOUS' ELSE 'CONFIRMED' END, CASE WHEN ocr THEN 0.5 ELSE 0.85 END, b FROM nw),
+cv AS (SELECT doc_id, flatten(list(b)) AS c FROM al WHERE type = 'PROJECT' AND e IS NOT NULL AND status = 'CONFIRMED' GROUP BY 1)
+SELECT id, type, s, e, status, confidence::DOUBLE AS confidence FROM al LEFT JOIN cv ON al.doc_id = cv.doc_id WHERE NOT (type = 'PROJECT' AND e IS NULL AND c IS NOT NULL AND list_has_all(c, b))""")
 def k16(spark, d):
-    t = timeline(spark, d)
-    p = t.where("type = 'PROJECT'").withColumns({"e": F.when(F.col("id") % 5 == 0, None).otherwise(F.col("e")), "ocr": F.col("id") % 3 == 0})
-    return events.place_projects(p, t).select("id", "s", "e", "status", "confidence")
+    t, k = timeline(spark, d), F.col("id")
+    ev = t.where("type <> 'EDUCATION'").withColumns({"e": F.when(k % 5 != 0, F.col("e")), "status": F.when(k % 5 == 0, "UNRESOLVED").otherwise(F.col("status")), "block_ids": F.array(k % 6, k % 4)})
+    pr = t.where("type = 'EDUCATION'").withColumns({"ocr": k % 3 == 0, "block_ids": F.array(k % 6, k % 10)})
+    return events.place_projects(ev, pr).select("id", "type", "s", "e", "status", "confidence")
 
 
 @query("d4_quality", f"""WITH {T}, x AS (SELECT *, id % 5 <> 0 AS dated FROM t), g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (dated) AS dn, count(*) FILTER (status = 'AMBIGUOUS') AS am, round(avg(confidence), 3) AS c FROM x GROUP BY 1)
@@ -199,10 +226,25 @@ def d4(spark, d):
     return events.quality(timeline(spark, d).withColumn("e", F.when(F.col("id") % 5 != 0, F.col("e"))))
 
 
-@query("d6_event_score", f"""WITH {T}, g AS (SELECT doc_id, sum(confidence * CASE type WHEN 'EMPLOYMENT' THEN 1.5 WHEN 'EDUCATION' THEN 1.0 ELSE 0.8 END::DOUBLE) / sum(CASE type WHEN 'EMPLOYMENT' THEN 1.5 WHEN 'EDUCATION' THEN 1.0 ELSE 0.8 END::DOUBLE) AS m, min(CASE WHEN type = 'EMPLOYMENT' THEN confidence END) AS w FROM t GROUP BY 1)
-SELECT doc_id, round(coalesce(0.7::DOUBLE * m + 0.3::DOUBLE * w, m), 4) AS event FROM g""")
+SCORED = """sx AS (SELECT doc_id, CASE WHEN id % 8 = 1 THEN 'INTERNSHIP' WHEN id % 23 = 0 THEN 'OTHER' ELSE type END AS type, CASE WHEN id % 10 = 0 THEN '' WHEN id % 13 = 0 THEN 'with the team' WHEN id % 29 = 0 THEN 'Lead of a very long and winding story about the things that were done' ELSE title END AS title, CASE WHEN id % 7 = 0 THEN NULL ELSE org END AS org,
+ CASE WHEN id % 17 = 0 THEN 'UNRESOLVED' ELSE status END AS status, CASE WHEN id % 19 = 0 THEN NULL ELSE confidence END AS confidence FROM t),
+fr AS (SELECT *, title LIKE 'with %' OR title LIKE 'Lead of%' AS frag, coalesce(confidence, CASE status WHEN 'UNRESOLVED' THEN 0.35 WHEN 'AMBIGUOUS' THEN 0.60 ELSE 0.85 END::DOUBLE) AS c0, type IN ('EMPLOYMENT', 'INTERNSHIP') AS work FROM sx),
+c1 AS (SELECT *, c0 * CASE WHEN work AND org IS NULL THEN 0.5 WHEN work AND title = '' THEN 0.95 WHEN type = 'EDUCATION' AND (org IS NULL OR title = '') THEN 0.5 ELSE 1.0 END::DOUBLE AS v FROM fr),
+c2 AS (SELECT *, CASE status WHEN 'UNRESOLVED' THEN least(v, 0.40::DOUBLE) WHEN 'AMBIGUOUS' THEN least(v, 0.65::DOUBLE) ELSE v END * CASE WHEN frag THEN 0.20::DOUBLE ELSE 1.0::DOUBLE END AS f, CASE type WHEN 'EMPLOYMENT' THEN 1.5 WHEN 'INTERNSHIP' THEN 1.2 WHEN 'EDUCATION' THEN 1.0 WHEN 'PROJECT' THEN 0.8 ELSE 0.5 END::DOUBLE AS w FROM c1),
+c3 AS (SELECT doc_id, f, w, work, work AND status = 'CONFIRMED' AND org IS NOT NULL AS ok FROM c2 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.10 ELSE 0.80 END, 0.8, false, false FROM customer WHERE c_custkey % 3 = 0),
+c4 AS (SELECT doc_id, sum(f * w) / sum(w) AS m, min(f) FILTER (work) AS weak, count(*) FILTER (ok) / nullif(count(*) FILTER (work), 0) AS share FROM c3 GROUP BY 1)"""
+
+
+@query("d6_event_score", f"WITH {T}, {SCORED} SELECT doc_id, round(CASE WHEN weak IS NULL THEN m ELSE (0.7::DOUBLE * m + 0.3::DOUBLE * weak) * CASE WHEN share >= 0.5 THEN 1.0::DOUBLE ELSE greatest(0.20::DOUBLE, share / 0.5::DOUBLE) END END, 4) AS event FROM c4")
 def d6(spark, d):
-    return routing.event_score(timeline(spark, d)).select("doc_id", F.round("event", 4).alias("event"))
+    k = F.col("id")
+    t = timeline(spark, d).withColumns({
+        "type": F.when(k % 8 == 1, "INTERNSHIP").when(k % 23 == 0, "OTHER").otherwise(F.col("type")), "org": F.when(k % 7 != 0, F.col("org")), "status": F.when(k % 17 == 0, "UNRESOLVED").otherwise(F.col("status")), "confidence": F.when(k % 19 != 0, F.col("confidence")),
+        "title": F.when(k % 10 == 0, "").when(k % 13 == 0, "with the team").when(k % 29 == 0, "Lead of a very long and winding story about the things that were done").otherwise(F.col("title")),
+    })
+    c = F.col("c_custkey")
+    projects = table(spark, d, "customer").where("c_custkey % 3 = 0").select(c.alias("doc_id"), F.when(c % 2 == 0, "and then some").otherwise("Billing").alias("name"))
+    return routing.event_score(t, projects).select("doc_id", F.round("event", 4).alias("event"))
 
 
 ROUTE = """r AS (SELECT c_custkey AS doc_id, (c_custkey % 101) / 100.0::DOUBLE AS event, (c_custkey % 37) / 36.0::DOUBLE AS grounding, (c_custkey % 29) / 28.0::DOUBLE AS dated, (c_custkey % 3) / 2.0::DOUBLE AS readability, c_custkey % 5 AS flags, c_custkey % 4 AS unlinked, c_custkey % 6 AS unresolved, c_custkey % 13 AS total, c_custkey % 3 AS fragments FROM customer),

@@ -63,7 +63,7 @@ def a21(spark, d):
     return store.replace_by_key(c, new, ["c_custkey"])
 
 
-@query("b20_request_errors", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'filename missing' WHEN length(text) > 4000 THEN 'note too long' ELSE '' END AS errors FROM documents WHERE doc_id % 3 <> 0 OR length(text) <= 4000")
+@query("b20_request_errors", "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'filename missing' END, CASE WHEN length(text) > 4000 THEN 'note too long' END, CASE WHEN text IS NULL THEN 'nothing to read' END) AS errors FROM documents")
 def b20(spark, d):
     r = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise("a.txt").alias("filename"), F.col("text").alias("note"), "text", F.lit(None).cast("binary").alias("content"))
     return state.request_errors(r).select("doc_id", F.array_join("errors", ",").alias("errors"))
@@ -73,3 +73,20 @@ def b20(spark, d):
 def g3(spark, d):
     o = table(spark, d, "orders")
     return o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at")).unionByName(o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")), allowMissingColumns=True)
+
+
+@query("b17_dismissed_gaps", "WITH f AS (SELECT c_custkey AS doc_id, c_custkey % 3 AS k FROM customer WHERE c_custkey % 4 <> 0) SELECT o_orderkey AS id, CASE WHEN coalesce(k = o_orderkey % 3, false) THEN 'DISMISSED_GAP' ELSE 'POTENTIAL_GAP' END AS state FROM orders LEFT JOIN f ON o_custkey = doc_id")
+def b17(spark, d):
+    k = F.col("c_custkey")
+    folded = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(k.alias("doc_id"), F.array((k % 3).cast("string")).alias("dismissed"))
+    gaps = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 3).cast("string").alias("id"), F.col("o_orderkey").alias("key"), F.lit("POTENTIAL_GAP").alias("state"))
+    return state.dismiss(gaps, folded).select(F.col("key").alias("id"), "state")
+
+
+@query("i4_append_notes", "SELECT o_custkey AS doc_id, o_orderkey::VARCHAR AS id, o_orderpriority AS text FROM orders")
+def i4(spark, d):
+    """Half of the notes are there, a third arrive again or for the first time, the rest come last."""
+    n = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("k"))
+    own = ["doc_id", "id", "text"]
+    first = state.append_notes(n.where("k % 2 = 0").select(*own), n.where("k % 3 = 0").select(*own))
+    return state.append_notes(first, n.select(*own))

@@ -20,31 +20,33 @@ def lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
 
 
-# Dates written in the forms that the parser knows, from order dates
-WRITTEN = """wr AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(o_orderdate)] AS n, o_orderkey % 8 AS f FROM orders),
-w AS (SELECT id, y, m, CASE f WHEN 0 THEN n || ' ' || y WHEN 1 THEN n || ' ' || dd || ', ' || y WHEN 2 THEN dd || ' ' || n || ' ' || y WHEN 3 THEN n || '''' || printf('%02d', y % 100) WHEN 4 THEN y || '-' || printf('%02d', m) WHEN 5 THEN printf('%02d', m) || '/' || y WHEN 6 THEN y::VARCHAR ELSE printf('%02d', m + 12) || '/' || y END AS t, f FROM wr)"""
+# Order dates, written in all forms that the parser knows, and in some that it doesn't
+WRITTEN = """wr AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(o_orderdate)] AS n, o_orderkey % 14 AS f FROM orders),
+w AS (SELECT id, y, m, CASE f WHEN 0 THEN n || ' ' || y WHEN 1 THEN n || ' ' || dd || ', ' || y WHEN 2 THEN dd || ' ' || n || ' ' || y WHEN 3 THEN n || chr(39) || printf('%02d', y % 100) WHEN 4 THEN y || '-' || printf('%02d', m) WHEN 5 THEN printf('%02d', m) || '/' || y WHEN 6 THEN y::VARCHAR WHEN 7 THEN printf('%02d', m + 12) || '/' || y
+ WHEN 8 THEN n || '-' || y WHEN 9 THEN n || '/' || y WHEN 10 THEN n || y WHEN 11 THEN printf('%02d', m) || '-' || y WHEN 12 THEN y || '/' || printf('%02d', m) ELSE n || '.' || printf('%02d', y % 100) END AS t, f FROM wr)"""
 
 
 def written(spark, d):
     o, at = table(spark, d, "orders"), F.col("o_orderdate")
     y, m, day = F.year(at), F.month(at), F.dayofmonth(at)
-    n, f = F.date_format(at, "MMM"), F.col("o_orderkey") % 8
+    n, f = F.date_format(at, "MMM"), F.col("o_orderkey") % 14
     fs = F.format_string
-    t = F.when(f == 0, fs("%s %d", n, y)).when(f == 1, fs("%s %d, %d", n, day, y)).when(f == 2, fs("%d %s %d", day, n, y)).when(f == 3, fs("%s'%02d", n, y % 100)).when(f == 4, fs("%d-%02d", y, m)).when(f == 5, fs("%02d/%d", m, y)).when(f == 6, y.cast("string")).otherwise(fs("%02d/%d", m + 12, y))
+    t = F.when(f == 0, fs("%s %d", n, y)).when(f == 1, fs("%s %d, %d", n, day, y)).when(f == 2, fs("%d %s %d", day, n, y)).when(f == 3, fs("%s'%02d", n, y % 100)).when(f == 4, fs("%d-%02d", y, m)).when(f == 5, fs("%02d/%d", m, y)).when(f == 6, y.cast("string")).when(f == 7, fs("%02d/%d", m + 12, y))
+    t = t.when(f == 8, fs("%s-%d", n, y)).when(f == 9, fs("%s/%d", n, y)).when(f == 10, fs("%s%d", n, y)).when(f == 11, fs("%02d-%d", m, y)).when(f == 12, fs("%d/%02d", y, m)).otherwise(fs("%s.%02d", n, y % 100))
     return o.select(F.col("o_orderkey").alias("id"), t.alias("t"))
 
 
-@query("h30_parse_month_year", f"WITH {WRITTEN} SELECT id, CASE WHEN f < 6 THEN (y * 12 + m)::INT END AS i FROM w")
+@query("h30_parse_month_year", f"WITH {WRITTEN} SELECT id, CASE WHEN f NOT IN (6, 7) THEN (y * 12 + m)::INT END AS i FROM w")
 def h30(spark, d):
     return written(spark, d).select("id", months.parse_month_year(F.col("t")).alias("i"))
 
 
-@query("h36_endpoint", f"WITH {WRITTEN} SELECT id, CASE WHEN f < 6 THEN y * 12 + m WHEN f = 6 THEN y * 12 + 1 END::INT AS i, CASE WHEN f < 6 THEN 'month' WHEN f = 6 THEN 'year' END AS precision FROM w")
+@query("h36_endpoint", f"WITH {WRITTEN} SELECT id, (y * 12 + CASE WHEN f IN (6, 7) THEN 1 ELSE m END)::INT AS i, CASE WHEN f IN (6, 7) THEN 'year' ELSE 'month' END AS precision FROM w")
 def h36(spark, d):
     return written(spark, d).select("id", months.endpoint(F.col("t"), F.lit(24321)).alias("p")).select("id", "p.i", "p.precision")
 
 
-@query("h38_comparable_date", f"WITH {WRITTEN} SELECT id, CASE WHEN f < 6 THEN printf('%04d-%02d', y, m) WHEN f = 6 THEN y::VARCHAR ELSE 'invalid:' || t END AS c FROM w")
+@query("h38_comparable_date", f"WITH {WRITTEN} SELECT id, CASE WHEN f IN (0, 4, 5, 8, 9, 10, 11, 12) THEN printf('%04d-%02d', y, m) WHEN f = 6 THEN y::VARCHAR ELSE 'invalid:' || lower(t) END AS c FROM w")
 def h38(spark, d):
     return written(spark, d).select("id", months.comparable(F.col("t")).alias("c"))
 
@@ -61,13 +63,27 @@ def h43(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), months.stored(F.format_string("(%d, %d)", F.year(at), F.month(at))).alias("i"))
 
 
-@query("k0_find_mentions", f"""WITH {WRITTEN}, x AS (SELECT id, CASE WHEN f < 6 THEN 'Worked from ' || t || ' to Present as lead' END AS line, y, m FROM w)
-SELECT id, (y * 12 + m)::INT AS s, 24321 AS e, true AS is_range FROM x WHERE line IS NOT NULL""")
+@query("k0_find_mentions", f"""WITH {WRITTEN}, j AS (SELECT *, ['to', '-', '–', 'till'][(id // 14) % 4 + 1] AS sep FROM w)
+SELECT id, f <> 7 AS is_range, (y * 12 + CASE WHEN f IN (6, 7) THEN 1 ELSE m END)::INT AS s, CASE WHEN f = 7 THEN y * 12 + 12 ELSE 24321 END::INT AS e, CASE WHEN f IN (6, 7) THEN 'year' ELSE 'month' END AS precision, f <> 7 AS is_present FROM j""")
 def k0(spark, d):
     from ..functions.mentions import mentions
 
-    w = written(spark, d).select("id", F.concat(F.lit("Worked from "), F.col("t"), F.lit(" to Present as lead")).alias("line"))
-    return w.select("id", F.explode(mentions(24321)("line")).alias("m")).select("id", "m.s", "m.e", "m.is_range")
+    sep = F.element_at(F.array(*(F.lit(x) for x in ("to", "-", "–", "till"))), (F.floor(F.col("id") / 14) % 4 + 1).cast("int"))
+    w = written(spark, d).select("id", F.concat(F.lit("Worked from "), F.col("t"), F.lit(" "), sep, F.lit(" Present as lead")).alias("line"))
+    return w.select("id", F.explode(mentions(24321)("line")).alias("m")).select("id", "m.is_range", "m.s", "m.e", "m.precision", "m.is_present")
+
+
+@query("h31_closed_ranges", f"""WITH {WRITTEN}, j AS (SELECT *, (y * 12 + m)::INT AS a, ((y + 1) * 12 + 3)::INT AS z FROM w)
+SELECT id, CASE WHEN f IN (6, 7) THEN y * 12 + 1 ELSE a END::INT AS s, CASE WHEN f = 7 THEN y * 12 + 12 WHEN f = 6 AND id % 3 = 0 THEN (y + 1) * 12 + 12 WHEN id % 3 = 0 THEN (y + 1) * 12 + 12 ELSE z END::INT AS e, CASE WHEN f IN (6, 7) OR id % 3 = 0 THEN 'year' ELSE 'month' END AS precision FROM j WHERE f <> 7
+UNION ALL SELECT id, y * 12 + 1, y * 12 + 12, 'year' FROM j WHERE f = 7 UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN (y + 1) * 12 + 1 ELSE z END, CASE WHEN id % 3 = 0 THEN (y + 1) * 12 + 12 ELSE z END, CASE WHEN id % 3 = 0 THEN 'year' ELSE 'month' END FROM j WHERE f = 7""")
+def h31(spark, d):
+    """Ranges whose second side is a month or a bare year; where the first side is no month, two dates remain."""
+    from ..functions.mentions import mentions
+
+    w = written(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.year("o_orderdate") + 1).alias("next")), "id")
+    side = F.when(F.col("id") % 3 == 0, F.col("next").cast("string")).otherwise(F.format_string("March %d", "next"))
+    w = w.select("id", F.concat(F.col("t"), F.lit(" until "), side).alias("line"))
+    return w.select("id", F.explode(mentions(24321)("line")).alias("m")).select("id", "m.s", "m.e", "m.precision")
 
 
 @query("h25_years_count", "SELECT doc_id, len(regexp_extract_all(text, '\\b(?:19|20)[0-9]{2}\\b'))::INT AS n FROM documents")
@@ -80,7 +96,7 @@ def h7(spark, d):
     return table(spark, d, "part").select("p_partkey", text.clean_text(F.concat_ws(", ", "p_name", "p_brand")).alias("t"))
 
 
-@query("h14_url_normalise", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(?:www\\.)?', ''), '[?#].*$', ''), '/+$', '') AS u FROM pages")
+@query("h14_url_normalise", "SELECT page_id, rtrim(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\\.', ''), '/') AS u FROM pages")
 def h14(spark, d):
     return table(spark, d, "pages").select("page_id", text.url(F.col("url")).alias("u"))
 
@@ -97,7 +113,7 @@ def h11(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.phone(raw).alias("phone"))
 
 
-@query("h12_emails", "SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x)))[1] AS first, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')))::INT AS n FROM documents WHERE len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'))) = 1")
+@query("h12_emails", "SELECT doc_id, list_min(e) AS first, len(e)::INT AS n FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x))) AS e FROM documents)")
 def h12(spark, d):
     e = table(spark, d, "documents").select("doc_id", text.emails(F.col("text")).alias("e"))
     return e.select("doc_id", F.array_min("e").alias("first"), F.size("e").alias("n"))
@@ -110,7 +126,7 @@ def h17(spark, d):
 
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP)
-TOKENS = f"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#./]+'), lambda x: len(x) > 1 AND x NOT IN ({STOPS}))) AS term FROM documents WHERE lang = 'en')"
+TOKENS = f"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#./]+'), lambda x: len(x) > 1 AND x NOT IN ({STOPS}))) AS term FROM documents)"
 
 
 def terms(spark, d):
@@ -170,7 +186,8 @@ def e4(spark, d):
     return k.select("doc_id", F.col("ord").alias("starts"), F.lead("ord").over(Window.partitionBy("doc_id").orderBy("ord")).alias("stops"))
 
 
-@query("b11_sentence_fragments", f"WITH {LINES}, x AS (SELECT doc_id, ord, trim(line) AS t, regexp_split_to_array(trim(line), '\\s+') AS w FROM ln) SELECT doc_id, ord, regexp_matches(t, '^[a-z,;.]') OR regexp_matches(lower(t), '^(for|with|from|by|in|on|of|to|at|as)\\s') OR (len(w) > 12 AND len(list_filter(w, lambda y: regexp_matches(y, '^[A-Z]'))) < 0.4 * len(w)) AS fragment FROM x")
+@query("b11_sentence_fragments", f"""WITH {LINES}, x AS (SELECT doc_id, ord, trim(line) AS t, regexp_split_to_array(trim(line), '\\s+') AS w FROM ln), y AS (SELECT *, list_filter(w, lambda z: regexp_matches(z, '\\p{{L}}')) AS l FROM x)
+SELECT doc_id, ord, t <> '' AND (regexp_matches(t, '^[\\p{{Ll}},.;:-]') OR lower(w[1]) IN ('and', 'with', 'or', 'in', 'at', 'for') OR (len(w) > 12 AND len(l) > 0 AND len(list_filter(l, lambda z: regexp_matches(z, '^\\p{{Lu}}'))) / len(l) < 0.4)) AS fragment FROM y""")
 def b11(spark, d):
     return lines(spark, d).select("doc_id", "ord", text.is_fragment(F.col("line")).alias("fragment"))
 
@@ -227,3 +244,77 @@ def a28(spark, d):
 def a12(spark, d):
     words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") > 1, 5).otherwise(4).alias("level"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.lit(1).alias("line_num"), (F.col("l_linenumber") * 1e9 + F.col("l_partkey") + F.col("l_suppkey") / 1e6).alias("left"), F.col("l_partkey").cast("string").alias("text"))
     return readers.ocr_lines(words, ["page"]).select("page", F.col("text").alias("line"))
+
+
+# Lines of many kinds, from part names
+BULLETS = "[" + text.BULLETS + "*\\-–]"
+MIXED = """mx AS (SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN '• Developed ' || p_name WHEN 1 THEN 'Date of Birth: 1990-01-0' || p_partkey % 9 WHEN 2 THEN 'managed ' || p_name || ' and ' || p_brand WHEN 3 THEN '- ' || p_name WHEN 4 THEN 'JOHN SMITH Lead  ' || p_name
+ WHEN 5 THEN 'Project ' || p_partkey || ': ' || p_name WHEN 6 THEN 'POC: ' || p_partkey WHEN 7 THEN 'see github.com/u' || p_partkey || ', https://www.linkedin.com/in/x-' || p_partkey || ' or github.com/u' || p_partkey WHEN 8 THEN 'well-' || chr(10) || 'known' || chr(10) || chr(10) || chr(10) || chr(10) || p_name
+ WHEN 9 THEN 'Nationality  Indian, ' || p_name ELSE p_name || ', ' || p_brand END AS t FROM part)"""
+
+
+def mixed(spark, d):
+    k, n, b = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    key, lit = k.cast("string"), F.lit
+    t = F.when(k % 11 == 0, F.concat(lit("• Developed "), n)).when(k % 11 == 1, F.concat(lit("Date of Birth: 1990-01-0"), (k % 9).cast("string"))).when(k % 11 == 2, F.concat(lit("managed "), n, lit(" and "), b)).when(k % 11 == 3, F.concat(lit("- "), n)).when(k % 11 == 4, F.concat(lit("JOHN SMITH Lead  "), n))
+    t = t.when(k % 11 == 5, F.concat(lit("Project "), key, lit(": "), n)).when(k % 11 == 6, F.concat(lit("POC: "), key)).when(k % 11 == 7, F.concat(lit("see github.com/u"), key, lit(", https://www.linkedin.com/in/x-"), key, lit(" or github.com/u"), key)).when(k % 11 == 8, F.concat(lit("well-\nknown\n\n\n\n"), n))
+    t = t.when(k % 11 == 9, F.concat(lit("Nationality  Indian, "), n)).otherwise(F.concat_ws(", ", n, b))
+    return table(spark, d, "part").select(k.alias("id"), t.alias("t"))
+
+
+@query("b4_descriptions", f"WITH {MIXED} SELECT id, regexp_matches(trim(t), '(?i)^(?:{BULLETS}\\s*)?(?:{text.VERBS})\\b') AS hit FROM mx")
+def b4(spark, d):
+    return mixed(spark, d).select("id", text.is_description(F.col("t")).alias("hit"))
+
+
+@query("b9_personal_lines", f"WITH {MIXED} SELECT id, regexp_matches(t, '(?i)(^|\\W)(date of birth|d\\.?o\\.?b|father''?s name|marital status|nationality|gender|passport)($|\\W)') AS hit FROM mx")
+def b9(spark, d):
+    return mixed(spark, d).select("id", text.is_personal(F.col("t")).alias("hit"))
+
+
+@query("b10_bullets", f"WITH {MIXED} SELECT id, regexp_matches(trim(t), '^{BULLETS}\\s*\\S') OR regexp_matches(trim(t), '(?i)^(?:{text.VERBS})\\b') AS hit FROM mx")
+def b10(spark, d):
+    return mixed(spark, d).select("id", text.is_bullet(F.col("t")).alias("hit"))
+
+
+@query("b19_profile_pages", "SELECT page_id, regexp_matches(lower(url), 'resume|curriculum|/cv(?:[/.?]|$)|profile') OR regexp_matches(lower(html), '\\b(?:curriculum vitae|work experience|resume)\\b') AS hit FROM pages")
+def b19(spark, d):
+    return table(spark, d, "pages").select("page_id", text.is_profile_page(F.col("url"), F.col("html")).alias("hit"))
+
+
+@query("h1_normalise", f"WITH {MIXED} SELECT id, trim(regexp_replace(t, '[ \\t]+', ' ', 'g')) AS t FROM mx")
+def h1(spark, d):
+    return mixed(spark, d).select("id", text.normalise(F.col("t")).alias("t"))
+
+
+@query("h2_leading_capitals", f"WITH {MIXED} SELECT id, regexp_replace(t, '^(?:[A-Z]{{2,}}\\s+){{2,}}([A-Z][a-z])', '\\1') AS t FROM mx")
+def h2(spark, d):
+    return mixed(spark, d).select("id", text.strip_leading_caps(F.col("t")).alias("t"))
+
+
+@query("h6_project_prefix", f"WITH {MIXED} SELECT id, CASE WHEN id % 11 = 5 THEN substr(t, length('Project ' || id || ': ') + 1) ELSE t END AS t FROM mx")
+def h6(spark, d):
+    return mixed(spark, d).select("id", text.strip_project_prefix(F.col("t")).alias("t"))
+
+
+@query("h8_dehyphenate", f"WITH {MIXED} SELECT id, regexp_replace(replace(t, 'well-' || chr(10), 'well'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM mx")
+def h8(spark, d):
+    return mixed(spark, d).select("id", text.dehyphenate(F.col("t")).alias("t"))
+
+
+@query("h13_links", f"WITH {MIXED} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)(?:https?://)?(?:www\\.)?(?:linkedin\\.com/in|github\\.com)/[\\w-]+'))), ' ') AS links FROM mx")
+def h13(spark, d):
+    return mixed(spark, d).select("id", F.array_join(F.array_sort(text.links(F.col("t"))), " ").alias("links"))
+
+
+@query("h34_expand_year", "SELECT p_partkey, CASE WHEN p_partkey % 100 <= 39 THEN 2000 ELSE 1900 END + (p_partkey % 100)::INT AS y FROM part")
+def h34(spark, d):
+    return table(spark, d, "part").select("p_partkey", months.expand_year(F.format_string("%02d", F.col("p_partkey") % 100)).alias("y"))
+
+
+@query("h10_title_skills", """SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
+ CASE p_partkey % 4 WHEN 0 THEN 'kubernetes,python' WHEN 1 THEN 'node.js,postgres' WHEN 2 THEN 'amazon web services' ELSE 'python' END AS skills FROM part""")
+def h10b(spark, d):
+    k = F.col("p_partkey") % 4
+    given = F.when(k == 0, F.array(F.lit("K8s"), F.lit("Python 3.11"), F.lit("python"))).when(k == 1, F.array(F.lit("NodeJS"), F.lit(""), F.lit(" PostgreSQL "))).when(k == 2, F.array(F.lit("AWS"), F.lit("aws"))).otherwise(F.array(F.lit("Python"), F.lit("python 2.7"), F.lit(None)))
+    return table(spark, d, "part").select("p_partkey", text.clean_text(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")"))).alias("title"), F.array_join(text.skills(given), ",").alias("skills"))

@@ -53,13 +53,25 @@ class Store:
         return full.where((F.col("bucket") == b) & (F.col("doc_id") == doc_id)).drop("bucket")
 
     def replace(self, name: str, rows: DataFrame, documents: DataFrame | None = None) -> None:
-        """Derived rows of the given documents are replaced; all others stay. Notes and states aren't touched."""
+        """Derived rows of the given documents are replaced; all others stay. Notes and states aren't touched.
+
+        A bucket that no row is left for is emptied as well: a write of partitions leaves it as it was.
+        """
         ids = (documents if documents is not None else rows).select("doc_id").distinct()
-        touched = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        touched = ids.select(bucket).distinct()
         schema = T._parse_datatype_string(SCHEMAS[name])
         old = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path(name))
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").drop("bucket").join(ids, "doc_id", "left_anti")  # 64 buckets at most
-        self._write(kept.unionByName(rows.select(*[f.name for f in schema.fields])).checkpoint(), name)
+        new = kept.unionByName(rows.select(*[f.name for f in schema.fields])).checkpoint()
+        bare = {r.bucket for r in touched.collect()} - {r.bucket for r in new.select(bucket).distinct().collect()}
+        self._write(new, name)
+        for b in bare:
+            self._remove(f"{self.path(name)}/bucket={b}")
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
