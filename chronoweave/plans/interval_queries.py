@@ -235,7 +235,7 @@ c3 AS (SELECT doc_id, f, w, work, work AND status = 'CONFIRMED' AND org IS NOT N
 c4 AS (SELECT doc_id, sum(f * w) / sum(w) AS m, min(f) FILTER (work) AS weak, count(*) FILTER (ok) / nullif(count(*) FILTER (work), 0) AS share FROM c3 GROUP BY 1)"""
 
 
-@query("d6_event_score", f"WITH {T}, {SCORED} SELECT doc_id, round(CASE WHEN weak IS NULL THEN m ELSE (0.7::DOUBLE * m + 0.3::DOUBLE * weak) * CASE WHEN share >= 0.5 THEN 1.0::DOUBLE ELSE greatest(0.20::DOUBLE, share / 0.5::DOUBLE) END END, 4) AS event FROM c4")
+@query("d6_event_score", f"WITH {T}, {SCORED} SELECT doc_id, round(CASE WHEN weak IS NULL THEN m ELSE (0.7::DOUBLE * m + 0.3::DOUBLE * weak) * CASE WHEN share >= 0.5 THEN 1.0::DOUBLE ELSE greatest(0.20::DOUBLE, share / 0.5::DOUBLE) END END, 6) AS event FROM c4")
 def d6(spark, d):
     k = F.col("id")
     t = timeline(spark, d).withColumns({
@@ -244,7 +244,7 @@ def d6(spark, d):
     })
     c = F.col("c_custkey")
     projects = table(spark, d, "customer").where("c_custkey % 3 = 0").select(c.alias("doc_id"), F.when(c % 2 == 0, "and then some").otherwise("Billing").alias("name"))
-    return routing.event_score(t, projects).select("doc_id", F.round("event", 4).alias("event"))
+    return routing.event_score(t, projects).select("doc_id", F.round("event", 6).alias("event"))
 
 
 ROUTE = """r AS (SELECT c_custkey AS doc_id, (c_custkey % 101) / 100.0::DOUBLE AS event, (c_custkey % 37) / 36.0::DOUBLE AS grounding, (c_custkey % 29) / 28.0::DOUBLE AS dated, (c_custkey % 3) / 2.0::DOUBLE AS readability, c_custkey % 5 AS flags, c_custkey % 4 AS unlinked, c_custkey % 6 AS unresolved, c_custkey % 13 AS total, c_custkey % 3 AS fragments FROM customer),
