@@ -10,6 +10,8 @@ put together again from its segments.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +32,8 @@ def base32(sha1_hex: Column) -> Column:
 
 
 def write(pages: DataFrame, ws: Workspace, least_revisit: int = LEAST_REVISIT) -> str:
-    """A record per page; returns the archives' folder. Only digests are shuffled, not payloads."""
+    """A record per page; returns the archives' folder. Only digests are shuffled, unless more payloads are repeated
+    than may be broadcast; then pages and the first of their kind meet in a merge join."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html"), "mark": F.xxhash64("html")})
     key = ["sha", "size", "mark"]
@@ -109,26 +112,47 @@ def reachable(ws: Workspace, found: DataFrame) -> DataFrame:
         jump = ws.stage(jump.join(further, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "jumps")
 
 
+@contextmanager
+def _equal_splits(spark):
+    """Scans of the same files are split alike in here, however many executors come and go: the least number of
+    splits is fixed, which else follows the cores at hand."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+_FIELDS = ("id", "kind", "refers", "stated", "stated_size", "payload_size", "payload_sha")
+
+
 def read(ws: Workspace, path: str) -> DataFrame:
     """A row per record: id, kind, refers, payload_bytes, payload_digest, of the full payload.
 
-    Revisits take size and digest from their headers, responses from their bytes.
+    Revisits take size and digest from their headers, responses from their bytes. Records that were cut at
+    magic in their payload are read in a second scan with the same splits; if it doesn't give every segment
+    of the first one again, that is an error.
     """
-    found = candidates(ws, path)
-    real = reachable(ws, found).withColumn("real", F.lit(True))
-    marked = ws.stage(found.join(real, ["file", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False))), "marked")
-    out = marked.where("real and whole")
-    cut = marked.where("not real or not whole").select("file", "block", "row", "at", "real")
-    if cut.limit(1).count():
-        # a record and the segments after it that the chain doesn't reach are one
-        order = Window.partitionBy("file").orderBy("at")
-        cut = ws.stage(cut.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(order)).where("owner is not null"), "cut")
-        pieces = _segments(ws.spark, path).join(broadcast_if_small(cut), ["file", "block", "row"])
-        whole = pieces.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-        value = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC)
-        again = whole.select("file", F.col("owner").alias("at"), value.alias("value"))
-        again = again.select("file", "at", *(c.alias(n) for n, c in _parsed(F.col("value")).items()))
-        out = out.select("id", "kind", "refers", "stated", "stated_size", "payload_size", "payload_sha").union(again.where("whole").select("id", "kind", "refers", "stated", "stated_size", "payload_size", "payload_sha"))
+    with _equal_splits(ws.spark):
+        found = candidates(ws, path)
+        real = reachable(ws, found).withColumn("real", F.lit(True))
+        marked = ws.stage(found.join(real, ["file", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False))), "marked")
+        out = marked.where("real and whole").select(*_FIELDS)
+        cut = marked.where("not real or not whole").select("file", "block", "row", "at", "real")
+        if cut.limit(1).count():
+            # a record and the segments after it that the chain doesn't reach are one
+            order = Window.partitionBy("file").orderBy("at")
+            cut = ws.stage(cut.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(order)).where("owner is not null"), "cut")
+            pieces = _segments(ws.spark, path).join(broadcast_if_small(cut), ["file", "block", "row"])
+            whole = pieces.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+            value = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC)
+            again = whole.select(F.size("parts").alias("n"), value.alias("value"))
+            again = ws.stage(again.select("n", *(c.alias(n) for n, c in _parsed(F.col("value")).items())), "again")
+            if (again.agg(F.sum("n")).head()[0] or 0) != cut.count():
+                raise RuntimeError("the archives were split differently in the second scan; some cut records were not found again")
+            out = out.union(again.where("whole").select(*_FIELDS))
     own = F.col("kind") != "revisit"
     return out.select("id", "kind", "refers", F.when(own, F.col("payload_size")).otherwise(F.col("stated_size")).cast("long").alias("payload_bytes"), F.when(own, base32(F.col("payload_sha"))).otherwise(F.col("stated")).alias("payload_digest"))
 
