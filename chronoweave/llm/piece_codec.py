@@ -36,7 +36,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Characters that a search takes at once.
 STEP = 4096
 #: Text that is encoded at once, and chunks and pairs that a worker remembers; beyond that it goes on with those of the text at hand.
-PIECE_BYTES, REMEMBERED = 4 << 20, 300_000
+PIECE_BYTES, REMEMBERED = 4 << 20, 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -377,6 +377,10 @@ class Model:
             ids = np.frombuffer(b"".join(parts), np.int32)
         return ids, np.concatenate([[0], np.cumsum(sizes)])
 
+    def forget(self) -> None:
+        """Drop the remembered chunks and pairs: an idle worker holds the model only."""
+        self._chunks, self._pair, self._pairs = {}, {}, 0
+
     def surfaces(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """The bytes that each row's ids spell, the dummy prefix included."""
         spelled = self._spelling.take(pa.array(ids))
@@ -417,5 +421,6 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 chars[i], back[i] = len(decoded), decoded == texts[i].as_py()
             listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed, pa.array(np.diff(bounds)), pa.array(chars.astype(np.int64)), pa.array(back)], names=schema.names)
+        model.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
