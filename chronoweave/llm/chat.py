@@ -75,9 +75,12 @@ def expand(pieces: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def read_back(pieces: DataFrame, examples: DataFrame) -> DataFrame:
-    """Per conversation, from the written output: turns, digests of turns and of what is under the loss mask.
+    """Per conversation, from the written output: turns, digests of turns and of what is under the loss mask, the
+    number of examples, and examples_sha256 over them all: the hex digest of their own hex digests, one after
+    another, each of context, NUL and target, where the context is the rendering up to the target's start.
 
-    A digest runs over a conversation in order, so its pieces come to one task, sorted; they stream through
+    A hash of the rendering so far is carried along and copied at each target, so every example is read whole
+    in linear time. A digest runs over a conversation in order, so its pieces come to one task, sorted; they stream through
     it and are never held together.
     """
     mask = examples.select(F.col("conv_id").alias("c"), F.col("seq").alias("s"), "target_start", "target_end")
@@ -88,10 +91,10 @@ def read_back(pieces: DataFrame, examples: DataFrame) -> DataFrame:
 
     def run(batches):
         now, any_ = None, False
-        turns = sha = lost = under = chars = shown = None
+        turns = sha = lost = under = chars = shown = so_far = pairs = None
 
         def done():
-            return {"conv_id": now, "n_turns": turns, "turns_sha256": sha.hexdigest(), "loss_chars": under, "loss_sha256": lost.hexdigest(), "formatted_chars": chars, "n_examples": shown}
+            return {"conv_id": now, "n_turns": turns, "turns_sha256": sha.hexdigest(), "loss_chars": under, "loss_sha256": lost.hexdigest(), "formatted_chars": chars, "n_examples": shown, "examples_sha256": pairs.hexdigest()}
 
         for batch in batches:
             out = []
@@ -100,15 +103,20 @@ def read_back(pieces: DataFrame, examples: DataFrame) -> DataFrame:
                     if any_:
                         out.append(done())
                     now, any_, turns, under, chars, shown = conv, True, 0, 0, 0, 0
-                    sha, lost = hashlib.sha256(), hashlib.sha256()
+                    sha, lost, so_far, pairs = (hashlib.sha256() for _ in range(4))
                 cut = piece.index(_MID)
                 role, text = plain.sub(r"\1", piece[len(_HEAD) : cut]), plain.sub(r"\1", piece[cut + len(_MID) : -len(_END)])
                 sha.update(f"{role}\n{text}\n".encode())
                 if a is not None:
-                    target = plain.sub(r"\1", piece[a - chars : b - chars])
+                    written = piece[a - chars : b - chars]
+                    example = so_far.copy()
+                    example.update(f"{piece[: a - chars]}\0{written}".encode())
+                    pairs.update(example.hexdigest().encode())
+                    target = plain.sub(r"\1", written)
                     lost.update(target.encode())
                     under += len(target)
                     shown += 1
+                so_far.update(piece.encode())
                 turns += 1
                 chars += len(piece)
             if out:
@@ -116,10 +124,10 @@ def read_back(pieces: DataFrame, examples: DataFrame) -> DataFrame:
         if any_:
             yield pa.RecordBatch.from_pylist([done()], schema=_DIGEST)
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, examples_sha256 string")
 
 
-_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
+_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("examples_sha256", pa.string())])
 
 
 def format_and_read(conversations: DataFrame) -> DataFrame:
@@ -127,7 +135,8 @@ def format_and_read(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, nulls first, ties by role and text; repeated rows are turns of their own.
     Null roles and texts are empty; a null conv_id is a conversation like any other. One without assistant
-    turns has no example and an empty loss. Other columns are not read.
+    turns has no example and an empty loss. A text of any length is one piece; the longest bounds what a task
+    holds. Other columns are not read.
     """
     ws = Workspace(conversations.sparkSession, "chat")
     return read_back(*render(conversations, ws))

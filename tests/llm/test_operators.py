@@ -86,6 +86,15 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     ws = Workspace(spark, "test")
     pieces, examples = chat.render(df, ws)
+    # every example as read back is context and target as written out
+    written = collections.defaultdict(list)
+    for r in chat.expand(pieces, examples).collect():
+        written[r.conv_id].append((r.example, hashlib.sha256(f"{r.context}\0{r.target}".encode()).hexdigest()))
+    for conv, r in got.items():
+        assert r.n_examples == len(written[conv]) and r.examples_sha256 == hashlib.sha256("".join(h for _, h in sorted(written[conv])).encode()).hexdigest()
+    long = spark.createDataFrame([(1, 0, "user", "<|x " * 50_000), (1, 1, "assistant", "\\" * 100_000)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_and_read(long).collect()
+    assert (r.loss_chars, r.n_examples) == (100_000, 1)
     for r in chat.expand(pieces, examples).where("conv_id = 500").collect():
         assert r.target in ("a", "b") and r.context.count("<|end|>") == r.example - 1
     assert chat.format_and_read(df.limit(0)).count() == 0
