@@ -44,11 +44,22 @@ _WIDE_LONG = {
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
+#: Matches that are added up at a time: sums run inside such stretches, and stretches are added up, so that no
+#: array is copied once for each of its elements.
+STRETCH = 128
+
+
 def _find(text: str, pattern: str, gate: str) -> str:
     """SQL for all matches with code-point offsets: gaps between matches and matches, added up."""
+    none = f"cast(array() as {_SPANS})"
     pairs = f"filter(zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}', -1), (m, g) -> named_struct('m', m, 'g', length(g))), x -> x.m is not null)"
     step = "(a, x) -> named_struct('at', a.at + x.g + length(x.m), 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.m), 'v', x.m))))"
-    return f"if({gate.format(t=text)}, aggregate({pairs}, named_struct('at', 0, 'out', cast(array() as {_SPANS})), {step}, a -> a.out), cast(array() as {_SPANS}))"
+    inner = f"aggregate(stretch, named_struct('at', b.at, 'out', {none}), {step})"
+    outer = f"(b, stretch) -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(b.out, array(r.out))))[0]"
+    cut = f"transform(sequence(0, greatest(size(p) - 1, 0) div {STRETCH}), i -> slice(p, int(i) * {STRETCH} + 1, {STRETCH}))"
+    # array(...) and [0] give a value a name, so that it is made once
+    whole = f"transform(array({pairs}), p -> aggregate({cut}, named_struct('at', 0, 'out', cast(array() as array<{_SPANS}>)), {outer}, b -> flatten(b.out)))[0]"
+    return f"if({gate.format(t=text)}, {whole}, {none})"
 
 
 def _digits(v: str) -> str:
@@ -112,12 +123,23 @@ FEATURES = [
 ]
 
 
-def _with_context(found: str, text: str, order: int) -> str:
-    return f"transform({found}, x -> named_struct('s', x.s, 'o', {order}, 'e', x.e, 'v', x.v, 'before', substring({text}, greatest(x.s - 23, 1), least(24, x.s)), 'after', substring({text}, x.e + 1, 1)))"
+#: Characters in a piece of text: context is taken from a piece and the next, as a place far inside a long text
+#: is only found by counting characters from its beginning.
+PIECE = 4096
+
+
+def _with_context(found: str, order: int) -> str:
+    """Spans with the 24 characters before and the one after, from pieces q of the text."""
+    k, j = f"(greatest(x.s - 24, 0) div {PIECE})", f"(x.e div {PIECE})"
+    before = f"substring(concat(get(q, int({k})), coalesce(get(q, int({k} + 1)), '')), int(greatest(x.s - {k} * {PIECE} - 23, 1)), least(24, x.s))"
+    after = f"substring(coalesce(get(q, int({j})), ''), int(x.e - {j} * {PIECE} + 1), 1)"
+    return f"transform({found}, x -> named_struct('s', x.s, 'o', {order}, 'e', x.e, 'v', x.v, 'before', {before}, 'after', {after}))"
 
 
 def _candidates(text: str) -> str:
-    return "concat(" + ", ".join(_with_context(_find(text, WIDE[k], _WIDE_LONG[k]), text, i) for i, k in enumerate(KINDS)) + ")"
+    pieces = f"transform(sequence(0, greatest(length({text}) - 1, 0) div {PIECE}), i -> substring({text}, int(i) * {PIECE} + 1, {PIECE}))"
+    every = ", ".join(_with_context(_find(text, WIDE[k], _WIDE_LONG[k]), i) for i, k in enumerate(KINDS))
+    return f"transform(array({pieces}), q -> concat({every}))[0]"
 
 
 def _features(candidates: str) -> str:
@@ -186,19 +208,45 @@ def grow(spark: SparkSession, iterations: int = 20, depth: int = 3) -> tuple[str
 # ---------------------------------------------------------------- the operator
 
 
-def find(docs: DataFrame, model: tuple[str, dict[int, float]] | None = None) -> DataFrame:
-    """docs with __base and __spans: arrays of (s, o, e), start, kind's number and end, in that order."""
+def _near(spans: str) -> str:
+    """SQL for spans in order of their starts, in stretches with the bounds that each stretch covers."""
+    cut = f"transform(sequence(0, greatest(size(p) - 1, 0) div {STRETCH}), i -> slice(p, int(i) * {STRETCH} + 1, {STRETCH}))"
+    bounds = "x -> named_struct('lo', array_min(transform(x, y -> y.s)), 'hi', array_max(transform(x, y -> y.e)), 'x', x)"
+    return f"transform(array(array_sort({spans})), p -> transform({cut}, {bounds}))[0]"
+
+
+def _meets(near: str, test: str = "true") -> str:
+    """SQL for whether any span d of such stretches shares a character with c and passes a test."""
+    return f"exists({near}, t -> t.lo < c.e and c.s < t.hi and exists(t.x, d -> d.s < c.e and c.s < d.e and ({test})))"
+
+
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        out.append(name)
+    return out
+
+
+def find(docs: DataFrame, model: tuple[str, dict[int, float]] | None = None, base: str = "__base", spans: str = "__spans") -> DataFrame:
+    """docs with two more columns of arrays of (s, o, e), start, kind's number and end, in that order: the base
+    spans, and all spans. Columns of docs that have one of these two names are replaced."""
     score, limits = model or grow(docs.sparkSession)
-    out = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = out.withColumn("__base", F.expr(_base("__text")))
-    scored = f"transform({_features(_candidates('__text'))}, c -> named_struct('s', c.s, 'o', c.o, 'e', c.e, 'p', {score}))"
-    out = out.withColumn("__scored", F.expr(f"if(__text rlike r'[0-9@]|[\\[(]at[\\])]| at |[A-Fa-f]:[A-Fa-f]{{1,4}}:', {scored}, cast(array() as array<struct<s:int,o:int,e:int,p:double>>))"))
+    text, scored, more, near = _fresh(docs, "__text", "__scored", "__more", "__near")
+    out = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.withColumn(base, F.expr(_base(text)))
+    candidates = f"transform({_features(_candidates(text))}, c -> named_struct('s', c.s, 'o', c.o, 'e', c.e, 'p', {score}))"
+    out = out.withColumn(scored, F.expr(f"if({text} rlike r'[0-9@]|[\\[(]at[\\])]| at |[A-Fa-f]:[A-Fa-f]{{1,4}}:', {candidates}, cast(array() as array<struct<s:int,o:int,e:int,p:double>>))"))
     enough = " or ".join(f"(c.o = {o} and c.p > {q!r})" for o, q in sorted(limits.items())) or "false"
-    out = out.withColumn("__more", F.expr(f"filter(__scored, c -> ({enough}) and not exists(__base, b -> b.s < c.e and c.s < b.e))"))
+    out = out.withColumn(near, F.expr(_near(base)))
+    out = out.withColumn(more, F.expr(f"filter({scored}, c -> ({enough}) and not {_meets(near)})"))
     # of candidates that overlap, the surest stays; then the earliest, then the longest
-    beaten = "exists(__more, d -> d.s < c.e and c.s < d.e and (d.p > c.p or (d.p = c.p and (d.s < c.s or (d.s = c.s and (d.e > c.e or (d.e = c.e and d.o < c.o)))))))"
-    added = f"transform(filter(__more, c -> not {beaten}), c -> named_struct('s', c.s, 'o', c.o, 'e', c.e))"
-    return out.withColumn("__spans", F.expr(f"array_sort(concat(__base, {added}))")).drop("__scored", "__more")
+    out = out.withColumn(near, F.expr(_near(more)))
+    beaten = _meets(near, "d.p > c.p or (d.p = c.p and (d.s < c.s or (d.s = c.s and (d.e > c.e or (d.e = c.e and d.o < c.o)))))")
+    added = f"transform(filter({more}, c -> not {beaten}), c -> named_struct('s', c.s, 'o', c.o, 'e', c.e))"
+    return out.withColumn(spans, F.expr(f"array_sort(concat({base}, {added}))")).drop(text, scored, more, near)
 
 
 def _listed(spans: str) -> str:
@@ -217,9 +265,11 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(_listed("__base")), 256).alias("base_sha256"), F.expr(_listed("__spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with each found span in text replaced by its kind in brackets; overlapping spans are one."""
+def redact(docs: DataFrame, model: tuple[str, dict[int, float]] | None = None) -> DataFrame:
+    """docs with each found span in text replaced by its kind in brackets; overlapping spans are one. Null texts
+    stay null; columns of any names stay as they are."""
+    base, spans = _fresh(docs, "__base", "__spans")
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    step = f"(a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), named_struct('at', x.e, 'out', concat(a.out, substring(__text, a.at + 1, x.s - a.at), {names}[x.o])))"
-    whole = f"aggregate(__spans, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(__text, a.at + 1)))"
-    return find(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.expr(whole))).select(docs.columns)
+    step = f"(a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), {names}[x.o])))"
+    whole = f"aggregate({spans}, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(text, a.at + 1)))"
+    return find(docs, model, base, spans).withColumn("text", F.when(F.col("text").isNotNull(), F.expr(whole))).select(docs.columns)

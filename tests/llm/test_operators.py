@@ -262,9 +262,30 @@ def test_pii_keeps_all_base_spans(spark):
         own = [f"{n}:{s}:{e}" for s, _, e, n in spans]
         assert got[i].base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest(), t
         assert [got[i][f"n_{n}"] for n in BASE] == [sum(x[3] == n for x in spans) for n in BASE] and set(own) <= set(got[i].spans.split(",")) | {""}
-    shown = spark.createDataFrame([(1, "mail anna at mail dot com or a@b.co", 2), (2, None, 3)], "doc_id long, text string, e int")
-    red = {r.doc_id: r.text for r in pii.redact(shown).collect()}
+    shown = spark.createDataFrame([(1, "mail anna at mail dot com or a@b.co", 2, "t", "s", "m"), (2, None, 3, "t", "s", "m"), (2, None, 3, "t", "s", "m")], "doc_id long, text string, e int, __text string, __spans string, __more string")
+    red = pii.redact(shown)
+    assert red.columns == shown.columns and red.where("__text = 't' and __spans = 's' and __more = 'm'").count() == 3
+    red = {r.doc_id: r.text for r in red.collect()}
     assert "a@b.co" not in red[1] and "[EMAIL]" in red[1] and red[2] is None
+    assert pii.report(shown.limit(0)).count() == 0 and pii.report(shown).where("doc_id = 2").count() == 2
+
+
+def test_pii_of_very_many_matches(spark):
+    """Matches are added up in stretches; a text of many takes seconds, and its spans are all there."""
+    text = " ".join(f"1.2.3.{i % 250} x{i}@y.de" for i in range(6000))
+    (r,) = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_ip, r.n_email) == (6000, 6000) and len(r.spans.split(",")) >= 12_000
+    spans = sorted((m.start(), k, m.end(), n) for k, n in enumerate(BASE) for m in re.finditer(BASE[n], text) if _passes(n, m.group()))
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, e, n in spans).encode()).hexdigest()
+
+
+def test_pii_context_far_inside_a_text(spark):
+    """What is found doesn't depend on how far inside a text it stands."""
+    model, said = pii.grow(spark), "é mail me: anna [at] example.com today"
+    pads = [0, 2, 4040, 4060, 4070, 4080, 4090, 4094, 4096, 4098, 8180, 8192]
+    rows = [(n, "ü " * (n // 2) + said) for n in pads]
+    got = {r.doc_id: [(x.s - r.doc_id, x.e - r.doc_id) for x in r["__spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[0] and all(got[n] == got[0] for n in pads)
 
 
 def test_pii_gates_let_the_wide_pattern_through(spark):
