@@ -416,3 +416,28 @@ def test_pipeline_stages(spark):
         docs = out.cache()
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert ids.count() == docs.count() and not ids.where("not round_trip").count()
+
+
+def test_pipeline_keeps_what_it_must(spark):
+    """Nulls, blanks, repeats, copies, a benchmark passage and columns with names that operators use."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").first().text
+    own = _text(200).split()
+    near = [*own[:-1], "zz"]
+    shared = "\n".join(_text(10) for _ in range(8))  # 80 words: the later copy goes
+    rows = [(-1, None), (-2, ""), (None, _text(20)), (-90, " ".join(own)), (-80, " ".join(own)), (-70, " ".join(near)), (-60, f"{_text(30)} {passage} {_text(30)}"), (-50, f"{_text(40)}\n{shared}"), (-40, f"{_text(40)}\n{shared}\n{_text(12)}"), (-30, shared)]
+    rows += [(-20, _text(60))] * 2
+    docs = _docs(spark, rows)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs.withColumnsRenamed({}), sf) if "lang" in docs.columns else stage(spark, docs.selectExpr("*", "'en' as lang"), sf).select(columns)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == columns and stage(spark, before.selectExpr("*", "'en' as lang").limit(0), sf).count() == 0, name
+    kept = sorted((r.doc_id for r in docs.collect()), key=lambda d: (d is not None, d or 0))
+    # -80 and -70 are copies of -90; -60 holds the passage; nothing is left of -30
+    assert kept == [None, -90, -50, -40, -20, -20, -2, -1]
+    assert len({r.doc_id: r.text for r in docs.collect()}[-40].split("\n")) == 2
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.count() == len(kept) and not out.where("not round_trip").count()
