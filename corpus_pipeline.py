@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, line dedup, near-dedup, decontamination, SentencePiece encoding.
 
 Every stage is a function of (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents.
+last return the columns of documents, others with whatever names among them. Null and empty texts and null
+ids stay, repeated rows stay together, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ STAGES = [
     ("sentencepiece encoding", encode),
 ]
 
-#: The quality model and the encoding can't be put into SQL; tests compare the stages with brute force.
+#: The quality model and the encoding can't be put into SQL; tests hold each operator against brute force, and
+#: the stages against what they must keep of a small table with nulls, repeats and clashing names.
 ORACLE_SQL = None
 
 
