@@ -16,6 +16,7 @@ remembered.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections import Counter
@@ -36,7 +37,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Characters that a search takes at once.
 STEP = 4096
 #: Text that is encoded at once, and chunks and pairs that a worker remembers; beyond that it goes on with those of the text at hand.
-PIECE_BYTES, REMEMBERED = 4 << 20, 200_000
+PIECE_BYTES, REMEMBERED = 4 << 20, 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -408,6 +409,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_chars", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
+        gc.disable()  # nothing here makes cycles, and a collection would visit all that is remembered
         model = load(model_path)
         for batch in _pieces(batches, PIECE_BYTES):
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
@@ -422,5 +424,6 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed, pa.array(np.diff(bounds)), pa.array(chars.astype(np.int64)), pa.array(back)], names=schema.names)
         model.forget()
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
