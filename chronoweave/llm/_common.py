@@ -176,6 +176,8 @@ ITEM_WORD = byte_table(bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + byt
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
+#: Letters as they are, for hash_words.
+AS_IS = np.arange(1, 257, dtype=np.uint64)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +228,8 @@ def scan_words(data: np.ndarray, bounds: np.ndarray, members: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
-    """64-bit hashes of lower-cased words: a rolling polynomial over cache-sized pieces, then mixed."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19, values: np.ndarray = _VALUE) -> np.ndarray:
+    """64-bit hashes of words, lower-cased by default: a rolling polynomial over cache-sized pieces, then mixed."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -237,7 +239,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: in
         power, inverse = _power_tables(int(e[-1]) + 1)
         total = np.empty(int(e[-1]) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_VALUE[data[base : base + e[-1]]] * power[: e[-1]], out=total[1:])
+        np.cumsum(values[data[base : base + e[-1]]] * power[: e[-1]], out=total[1:])
         out[i:j] = (total[e] - total[s]) * inverse[s]
         i = j
     return mix64(out)
