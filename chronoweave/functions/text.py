@@ -39,9 +39,11 @@ def strip_leading_caps(text: Column) -> Column:
 
 
 def clean_org(text: Column) -> Column:
-    t = F.regexp_replace(F.trim(text), rf"^[{BULLETS}\-*\s]+", "")
-    t = F.trim(F.element_at(F.split(F.regexp_replace(t, r"[\[\](){}]", ""), r"\s*[—|]\s*"), 1))
-    t = F.regexp_replace(t, r"[\s,;:.\-]+$", "")
+    """An organisation's name: what stands before the first bar or dash between blanks, without marks and
+    brackets at its ends; more than seven words are no name."""
+    t = F.regexp_replace(F.trim(text), rf"^[:\[(\-–—\s|*{BULLETS}·]+", "")
+    t = F.trim(F.element_at(F.split(t, r"\s+[—|]\s+"), 1))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[\])\s|.,;:\-]+$", ""), r"\s+", " "))
     return F.when(F.size(F.split(t, r"\s+")) > 7, "").otherwise(F.left(t, F.lit(120)))
 
 
