@@ -17,7 +17,7 @@ DEPTH = 4
 #: Cells in a slice; offsets in one fit 16 bits.
 SLICE = 1 << 14
 #: Touched cells that a task holds before it hands them on.
-HELD_CELLS = 4_000_000
+HELD_CELLS = 500_000
 TOUCHED = "slice long, cells binary, counts binary"
 _MERGED = "slice long, bits binary"
 

@@ -29,8 +29,9 @@ from .minhash import _pieces
 MIN_DOCS, ALPHA, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Cells of the sketch for each document, up to 4 rows of 2^26 cells (32 MB of bits).
 CELLS_PER_DOC = 4
+PIECE_BYTES = 2 << 20
 #: Rows of counts that a task holds before it hands them on.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 200_000
 _LETTER = byte_table(bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
 #: A-Z become a-z, what is no letter and below 0x80 becomes a space.
 _MAP = np.where(_LETTER, np.arange(256), 0x20).astype(np.uint8)
@@ -66,7 +67,7 @@ def _document_frequencies(width: int, cap: int):
     def run(batches):
         release()
         touched = _sketch.Touched(cap)
-        for batch in _pieces(batches):
+        for batch in _pieces(batches, PIECE_BYTES):
             row, code, _, terms = _terms(batch.column("text"))
             lang = batch.column("lang").dictionary_encode()
             langs, hashed = _keys(lang.dictionary, terms)
@@ -84,7 +85,7 @@ def _counts(shared, width: int):
         held: list[pa.Table] = []
         size = 0
         add_up = lambda: pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
-        for batch in _pieces(batches):
+        for batch in _pieces(batches, PIECE_BYTES):
             row, code, n, terms = _terms(batch.column("text"))
             lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
             langs, hashed = _keys(lang.dictionary, terms)
