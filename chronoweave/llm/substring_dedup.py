@@ -6,7 +6,7 @@ over all documents; every rolling window of BLOCK words of every document probes
 blocks are in the index too: they count as hits if another block there is equal, or if a rolling window
 elsewhere has hit them, which a second sketch, of those hits, tells.
 
-Hits are extended to the windows of WINDOW words around them. Their 128-bit hashes meet in a shuffle, which
+Hits are extended to the windows of WINDOW words around them. Their 96-bit hashes meet in a shuffle, which
 finds the smallest document in which each begins; windows with a smaller one merge into the maximal exact
 repeats. No pairs of documents are formed: a passage in a third of all documents costs each of them its own
 windows. Window keys so frequent that one task would get too many rows of them (HOT_KEYS at most, by counting)
@@ -132,7 +132,6 @@ def _probes(once, width: int, block: int):
     return run
 
 
-_WINDOW = pa.list_(pa.struct([("p", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())]))
 
 
 def _candidates(once, twice, probed, width: int, window: int, block: int):
@@ -154,10 +153,10 @@ def _candidates(once, twice, probed, width: int, window: int, block: int):
             np.add.at(near, np.maximum(hits - (window - block), w.rows[w.row[hits]]), 1)
             np.add.at(near, hits + 1, -1)
             at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & w.inside(window))
-            k1, k2 = (_rolling(w.hashed if i == 0 else mix64(w.hashed + np.uint64(i)), window, i)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for i in (0, 1))
+            k1, k2 = (_rolling(w.hashed if i == 0 else mix64(w.hashed + np.uint64(i)), window, i)[at] if len(at) else np.zeros(0, np.uint64) for i in (0, 1))
             count = np.bincount(w.row[at], minlength=len(w.n))
             bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            windows = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(w.pos[at].astype(np.int32)), pa.array(k1), pa.array(k2)], names=["p", "k1", "k2"]))
+            windows = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(w.pos[at].astype(np.int32)), pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["p", "k1", "k2"]))
             clean = count == 0
             data, first = w.joined(clean[w.row])
             sha = [hashlib.sha256(data[a:b]).hexdigest() if ok else None for ok, a, b in zip(clean.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -203,7 +202,7 @@ def _judged(docs: DataFrame, window: int, carried: list[str]) -> DataFrame:
     width = _sketch.width_for(docs.count(), CELLS_PER_DOC)
     once, twice = (sc.broadcast(b) for b in _sketch.merge(texts.mapInArrow(_blocks(width, block), _sketch.TOUCHED), width, [1, 2]))
     (probed,) = (sc.broadcast(b) for b in _sketch.merge(texts.mapInArrow(_probes(once, width, block), _sketch.TOUCHED), width, [1]))
-    windows = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]))
+    windows = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType())]))
     schema = T.StructType([*own.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("windows", windows), T.StructField("kept_sha256", T.StringType())])
     found = own.mapInArrow(_candidates(once, twice, probed, width, window, block), schema)
     # a text without candidates is done; rows get numbers, fixed by being written
@@ -219,9 +218,11 @@ def _judged(docs: DataFrame, window: int, carried: list[str]) -> DataFrame:
     total = repeats.agg(F.sum("c")).head()[0] or 0
     hot = repeats.where(F.col("c") * HOT_KEYS > total)
     cold = repeats.where(F.col("c") * HOT_KEYS <= total).select("k1", "k2", "first")
+    # hot keys are answered by the first join, and then dealt by their rows instead of their keys
     marked = rows.join(F.broadcast(hot.select("k1", "k2", F.col("first").alias("known"))), ["k1", "k2"], "left")
-    gone = marked.where("known < id").select("row", "p")
-    gone = gone.union(marked.where("known is null").drop("known").join(cold.hint("merge"), ["k1", "k2"]).where("first < id").select("row", "p"))
+    marked = marked.withColumn("k1", F.when(F.col("known").isNull(), F.col("k1")).otherwise(F.xxhash64("row", "p")))
+    found_first = marked.join(cold.hint("merge"), ["k1", "k2"], "left")
+    gone = found_first.where(F.coalesce("known", "first") < F.col("id")).select("row", "p")
     gone = ws.stage(gone.groupBy("row").agg(F.collect_list("p").alias("gone")), "gone")
     cut = some.select("row", "rest", "text", "n_words").join(gone.hint("merge"), "row", "left").drop("row")
     schema = T.StructType([T.StructField("rest", own.schema["rest"].dataType), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("cut", T.StringType())))])
