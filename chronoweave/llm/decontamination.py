@@ -250,6 +250,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, with all their columns; no shuffle."""
+    names = docs.columns
+    docs = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
     for block in blocks(benchmark, window):
 
         def run(batches, block=block):
@@ -259,4 +261,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                 yield batch.filter(pa.array([not s for s in spans]))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -109,10 +109,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def _applied(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs with __lines and __kept, the lines and the numbers of those that stay."""
+def _applied(docs: DataFrame, min_words: int, carried: list[str]) -> DataFrame:
+    """rest, a struct of the carried columns, with __lines and __kept, the lines and the numbers of those that stay."""
     gone = later_copies(docs, min_words)
-    split = _keyed(docs.withColumn("text", F.col("text").cast("string"))).withColumn("__lines", F.split("text", "\n")).drop("text")
+    rest = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest")
+    own = docs.select(rest, "doc_id", F.col("text").cast("string").alias("text"))
+    split = _keyed(own).withColumn("__lines", F.split("text", "\n")).drop("text", "doc_id")
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
     # a merge join at every size: the plan, and what it needs, then grow with the input
     return split.join(gone.hint("merge"), _KEY, "left").withColumn("__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, "__gone")))
@@ -129,17 +131,19 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null doc_id counts as the smallest. Rows with equal doc_id and text are one document listed again
     and get the same result; rows that share a doc_id only are ordered by a hash of their texts.
     """
-    d = _applied(docs.select("doc_id", "text"), min_words)
+    d = _applied(docs, min_words, ["doc_id"])
     n = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    return d.select("doc_id", F.greatest(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), _text().alias("text"))
+    return d.select(F.col("rest.doc_id").alias("doc_id"), F.greatest(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), _text().alias("text"))
 
 
 def remove_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the same columns, texts without later copies, and n_chars (if there) brought up to date.
 
     A document all of whose lines were later copies is dropped; all others stay, null and empty ones too.
+    Other columns stay as they are, whatever their names. Texts of any length are split whole.
     """
-    d = _applied(docs, min_words).where("__lines is null or size(__kept) > 0").withColumn("text", _text())
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(docs.columns)
+    d = _applied(docs, min_words, [c for c in docs.columns if c != "text"]).where("__lines is null or size(__kept) > 0").withColumn("text", _text())
+    out = {c: F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("__gone").isNull(), out["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*(value.alias(c) for c, value in out.items()))

@@ -291,4 +291,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = ws.stage(_near_duplicates(docs, ws).where("not kept").select("doc_id").distinct(), "gone")
     ws.only(gone)
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,13 +3,16 @@
 Counts of the highest order are gathered over all trusted documents, pre-aggregated in each task and
 summed by a shuffle; every further table (continuation counts, discounts, context masses, interpolated
 probabilities) comes from joins that are sharded by n-gram. A context has at most 256 continuations, so
-no key is hot. A packed 64-bit integer is the n-gram itself, so nothing collides.
-
-A document's score is its mean negative log-probability per byte. Thresholds are plain quantiles, by
-language, over all trusted documents, each scored by a model of the other folds. The models of all folds
-but one and of all folds are estimated together. A finished model goes to the tasks in shards of bounded
-size, split by the byte before the predicted one; each position falls into one shard, and one more shard is
-one more pass.
+no key is hot. A packed 64-bit integer is the n-gram itself, so n-grams don't collide; a NUL byte in a text
+is taken as the padding before it.
+
+A document's score is its mean negative log-probability per byte, together with PRIOR_BYTES at its language's
+mean, so that a few words decide little; its perplexity is that of this score. Thresholds are quantiles of the
+same scores, by language, over all trusted documents, each scored by a model of the other folds; the quantile's
+rank is off by a ten-thousandth of these documents at most. The models of all folds but one and of all folds
+are estimated together. A finished model goes to the tasks in shards split by the byte before the predicted
+one, of about SHARD_ROWS or of one such byte; each position falls into one shard, and one more shard is one
+more pass.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Workspace, broadcast_if_small, keep, release, text_buffer
+from ._common import Workspace, broadcast_if_small, fresh, keep, release, text_buffer
 from .minhash import _pieces
 
 ORDER = 5
@@ -245,7 +248,7 @@ class _Shared:
         return self.broadcast.value
 
 
-def add_scores(docs: DataFrame, parts: list, nll: str = "__nll", size: str = "__bytes") -> DataFrame:
+def add_scores(docs: DataFrame, parts: list, nll: str, size: str) -> DataFrame:
     """docs with two more columns: the sum of negative logs and the bytes of each text."""
     out = docs.withColumns({nll: F.lit(0.0), size: F.lit(0).cast("long")})
     for part in parts:
@@ -266,19 +269,25 @@ def add_scores(docs: DataFrame, parts: list, nll: str = "__nll", size: str = "__
 
 
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
-    """docs with perplexity, threshold and keep in three more columns named __perplexity, __threshold, __keep.
+    """docs with four more columns, whose names don't clash with those of docs (judged() gives them): perplexity,
+    plain_perplexity (of the text alone, without PRIOR_BYTES), threshold and keep.
 
-    Trusted: documents with labels, all of quality 1 and none toxic. keep: the mean rate of the text,
-    together with PRIOR_BYTES at its language's mean, is at most the language's threshold. A language
+    Trusted: documents with labels, all of quality 1 and none toxic. keep: perplexity is at
+    most threshold, that of the text's language. A language
     without trusted documents (or a null one) takes the threshold of all. A null or empty text has no
     perplexity and is kept, as is everything if nothing is trusted. Labels without doc_id or quality
-    don't count; a null toxic is 0. Repeated rows are judged alike.
+    don't count; a null toxic is 0. Repeated rows are judged alike. Texts of any length are scored whole, in
+    pieces of 1 MB.
     """
+    names = judged(docs)
+    columns = docs.columns
+    carried = [c for c, kind in docs.dtypes if (c, kind) != ("text", "string")]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
+    unpacked = lambda df, *more: df.select(*(F.col(f"row.`{c}`").alias(c) if c in carried else F.col(c) for c in columns), *(value.alias(name) for value, name in zip(more, names, strict=True)))
     ws = Workspace(docs.sparkSession, "quality")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
     good = ws.stage(good, "trusted")
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    trusted = trusted.where("text <> ''").join(broadcast_if_small(good), "doc_id", "left_semi")
+    trusted = docs.select("doc_id", "text", "lang").where("text <> ''").join(broadcast_if_small(good), "doc_id", "left_semi")
     trusted = ws.stage(trusted.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).alias("fold")), "trusted-texts")
     # model k < folds counts all folds but k, model `folds` counts all
     fold = reduce(DataFrame.union, [count_ngrams(trusted.where(F.col("fold") == k), order).withColumn("fold", F.lit(k)) for k in range(folds)])
@@ -288,26 +297,26 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     rates = []
     for k in range(folds):
         others = shards(models.where(F.col("k") == k), order)
-        own = add_scores(trusted.where(F.col("fold") == k).select("text", "lang"), others)
-        rates.append(ws.stage(own.select("lang", "__nll", "__bytes"), "held-out"))
+        own = add_scores(trusted.where(F.col("fold") == k).select("text", "lang"), others, "nll", "bytes")
+        rates.append(ws.stage(own.select("lang", "nll", "bytes"), "held-out"))
         for part in others:
             part.destroy()
     held = reduce(DataFrame.union, rates)
-    means = {r.lang: r.m for r in held.rollup("lang").agg((F.sum("__nll") / F.sum("__bytes")).alias("m")).collect()}  # a row per language
+    means = {r.lang: r.m for r in held.rollup("lang").agg((F.sum("nll") / F.sum("bytes")).alias("m")).collect()}  # a row per language
     overall = means.get(None)
     if overall is None:
-        return docs.withColumns({"__perplexity": F.lit(None).cast("double"), "__threshold": F.lit(None).cast("double"), "__keep": F.lit(True)})
+        none = F.lit(None).cast("double")
+        return unpacked(docs, none, none, none, F.lit(True))
     mean = _by_language({k: v for k, v in means.items() if k is not None}, overall)
-    rate = (F.col("__nll") + PRIOR_BYTES * mean) / (F.col("__bytes") + PRIOR_BYTES)
+    rate = (F.col("nll") + PRIOR_BYTES * mean) / (F.col("bytes") + PRIOR_BYTES)
     limits = held.withColumn("r", rate).rollup("lang").agg(F.percentile_approx("r", quantile, 10_000).alias("q")).collect()
     of = {r.lang: r.q for r in limits if r.lang is not None}
     limit = _by_language(of, max(r.q for r in limits if r.lang is None))
     parts = shards(models.where(F.col("k") == folds), order)
     ws.only()  # the broadcast model is all that scoring needs
-    scored = add_scores(docs, parts)
-    empty = F.col("__bytes") == 0
-    scored = scored.withColumns({"__perplexity": F.when(~empty, F.exp(F.col("__nll") / F.col("__bytes"))), "__threshold": F.exp(limit), "__keep": empty | (rate <= limit)})
-    return scored.drop("__nll", "__bytes")
+    scored = add_scores(docs.select("row", "text", "lang"), parts, "nll", "bytes")
+    empty = F.col("bytes") == 0
+    return unpacked(scored, F.when(~empty, F.exp(rate)), F.when(~empty, F.exp(F.col("nll") / F.col("bytes"))), F.exp(limit), empty | (rate <= limit))
 
 
 def _by_language(values: dict, other: float):
@@ -318,12 +327,16 @@ def _by_language(values: dict, other: float):
     return out
 
 
+def judged(docs: DataFrame) -> list[str]:
+    """The names of the columns that judge() adds to docs."""
+    return fresh(docs, "perplexity", "plain_perplexity", "threshold", "keep")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with their columns."""
-    return judge(docs, labels).where("__keep").select(docs.columns)
+    """The rows of docs that the classifier doesn't reject, with their columns, whatever their names."""
+    return judge(docs, labels).where(F.col(judged(docs)[3])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, lang, perplexity, threshold, keep."""
-    own = docs.select("doc_id", "lang", "text")
-    return judge(own, labels).select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
+    """One row per row of docs: doc_id, lang, perplexity, plain_perplexity, threshold, keep."""
+    return judge(docs.select("doc_id", "lang", "text"), labels).drop("text")

@@ -377,8 +377,8 @@ def test_kneser_ney_sums_to_one_and_shards_agree(spark, monkeypatch):
     monkeypatch.setattr(quality, "SHARD_ROWS", 300)
     parts = quality.shards(model, 3)
     assert len(parts) > 1
-    one = [r["__nll"] for r in quality.add_scores(texts, [whole]).orderBy("text").collect()]
-    many = [r["__nll"] for r in quality.add_scores(texts, parts).orderBy("text").collect()]
+    one = [r["nll"] for r in quality.add_scores(texts, [whole], "nll", "size").orderBy("text").collect()]
+    many = [r["nll"] for r in quality.add_scores(texts, parts, "nll", "size").orderBy("text").collect()]
     assert np.allclose(one, many, rtol=1e-4)
 
 
