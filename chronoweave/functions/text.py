@@ -23,6 +23,11 @@ STOP = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "you"
 BULLETS = "•▪●○◦‣⁃∙■□▶►➢➤✓✔★☆"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once and once in the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _has(text: Column, fragments: str) -> Column:
     return text.rlike(rf"(?i)(?<!\w)(?:{fragments})(?!\w)")
 
@@ -76,10 +81,8 @@ def company(text: Column) -> Column:
 
 
 def title(text: Column) -> Column:
-    t = clean_text(text)
-    for short, long in (("sr", "senior"), ("jr", "junior"), ("mgr", "manager"), ("engg", "engineer"), ("asst", "assistant")):
-        t = F.regexp_replace(t, rf"(?<!\w){short}(?!\w)", long)
-    return t
+    """A job title to compare: lower case, marks to spaces, spaces collapsed; null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def phone(text: Column) -> Column:
@@ -203,11 +206,41 @@ def source_variants_found(text: Column, variants: Column) -> Column:
     return F.exists(variants, lambda v: F.lower(text).contains(F.lower(v)))
 
 
+_HIDDEN = r"(?is)<([a-z][a-z0-9]*)\b[^>]*\shidden\b[^>]*>"
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def without_hidden(html: Column) -> Column:
+    """Without the elements marked hidden: each goes up to the tag that closes it, elements of its name inside it
+    counted. One that is never closed goes on to the end; a void one is only its tag."""
+    tokens = F.regexp_extract_all(html, F.lit(r"(?s)(<[^>]*>|[^<]+|<)"), F.lit(1))
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    zero = F.from_json(F.lit('{"at":0,"tag":"","depth":0,"from":0,"kept":[]}'), "struct<at:int,tag:string,depth:int,from:int,kept:array<struct<s:int,e:int>>>")
+
+    def step(a: Column, t: Column) -> Column:
+        end = a["at"] + F.length(t)
+        inside = a["tag"] != ""
+        same = t.startswith("<") & (name(t) == a["tag"])
+        hides = ~inside & t.rlike(_HIDDEN)
+        void = hides & name(t).isin(*_VOID)
+        depth = F.when(inside, a["depth"] + F.when(~same, 0).when(t.startswith("</"), -1).otherwise(1)).otherwise(F.when(hides & ~void, 1).otherwise(0))
+        tag = F.when(depth == 0, "").when(hides, name(t)).otherwise(a["tag"])
+        shows = (inside & (depth == 0)) | void  # what follows is visible again
+        kept = F.when(hides, F.concat(a["kept"], F.array(F.struct(a["from"].alias("s"), a["at"].alias("e"))))).otherwise(a["kept"])
+        return F.struct(end.alias("at"), tag.alias("tag"), depth.alias("depth"), F.when(shows, end).otherwise(a["from"]).alias("from"), kept.alias("kept"))
+
+    def finish(a: Column) -> Column:
+        last = F.when(a["tag"] == "", F.array(F.struct(a["from"].alias("s"), a["at"].alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+        return F.array_join(F.transform(F.concat(a["kept"], last), lambda x: F.substring(html, x["s"] + 1, x["e"] - x["s"])), "")
+
+    return F.when(html.rlike(_HIDDEN), F.aggregate(tokens, zero, step, finish)).otherwise(html)
+
+
 def visible_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and parts marked hidden (up to their first closing tag) out, a newline at each block end, entities decoded."""
+    """Visible text: scripts, styles, comments and elements marked hidden out, a newline at each block end, entities decoded."""
     t = F.regexp_replace(html, r"(?is)<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\shidden\b[^>]*>.*?</\1\s*>", "")
+    t = let(t, without_hidden)
     t = F.regexp_replace(t, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/section|/article|/table)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

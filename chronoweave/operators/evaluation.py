@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,20 +33,16 @@ def pair(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
 def greedy_match(edges: DataFrame, group: list[str]) -> DataFrame:
     """One-to-one matching inside each group: edges (i, j, score) by falling score, then i, then j.
 
-    A group is one document's items of one kind, whose number is bounded by the document.
+    A group is one document's items of one kind, whose number is bounded by the document; its edges are folded
+    in the order of their scores, each of which stays if both of its ends are free.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema if f.name in (*group, "i", "j", "score"))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, kept = set(), set(), []
-        for n, (i, j) in enumerate(zip(*(pdf.sort_values(["score", "i", "j"], ascending=[False, True, True]).reset_index(drop=True)[c] for c in ("i", "j")), strict=True)):
-            if i not in left and j not in right:
-                left.add(i)
-                right.add(j)
-                kept.append(n)
-        return pdf.sort_values(["score", "i", "j"], ascending=[False, True, True]).reset_index(drop=True).loc[kept]
-
-    return edges.select(*[f.name for f in edges.schema if f.name in (*group, "i", "j", "score")]).groupBy(*group).applyInPandas(take, schema)
+    names = [f for f in edges.columns if f in (*group, "i", "j", "score")]
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "i", "j", "score")))
+    grouped = edges.groupBy(*group).agg(rows.alias("edges"))
+    free = lambda kept, x: ~F.exists(kept, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
+    none = F.filter("edges", lambda x: F.lit(False))
+    kept = F.aggregate("edges", none, lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
+    return grouped.select(*group, F.explode(kept).alias("x")).select(*(f if f in group else F.col(f"x.{f}").alias(f) for f in names))
 
 
 def multiset_counts(predicted: DataFrame, truth: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -65,6 +60,40 @@ def field_match(found: list[Column], given: list[Column]) -> Column:
     return F.when((n > 0) & (k == n), "MATCH").when((n > 0) & (k >= F.greatest(F.lit(1), F.floor(n / 2))), "PARTIAL").otherwise("MISSING")
 
 
+def _year(date: Column) -> Column:
+    return F.when(F.coalesce(date, F.lit("")).rlike("^[0-9]{4}"), F.left(date, F.lit(4)))
+
+
+def _given(value: Column) -> Column:
+    return F.coalesce(value, F.lit("")) != ""
+
+
+def _held(value: Column, text_: Column) -> Column:
+    return _given(value) & text_.contains(value)
+
+
+def work_match(company: Column, title: Column, start: Column, end: Column, source: Column) -> Column:
+    """How far a source, in lower case, bears out a job: its normalised names, and the years of its dates."""
+    dates = [(F.coalesce(text_.contains(_year(d)), F.lit(False)) & (d != "present")) for text_, d in ((source, start), (source, end))]
+    return field_match([_held(company, source), _held(title, source), *dates], [_given(c) for c in (company, title, start, end)])
+
+
+def education_match(institution: Column, degree: Column, start: Column, end: Column, source: Column) -> Column:
+    """The same for a study, whose dates count as one field: the year of either."""
+    year = F.coalesce(source.contains(_year(start)), F.lit(False)) | F.coalesce(source.contains(_year(end)), F.lit(False))
+    return field_match([_held(institution, source), _held(degree, source), year], [_given(institution), _given(degree), _given(start) | _given(end)])
+
+
+def project_match(name: Column, client: Column, source: Column) -> Column:
+    """The same for a project: any of the first three longer words of its name, and of its client's; one is enough for
+    a part."""
+    long = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: F.length(w) > 3)
+    found = [F.exists(F.slice(long(c), 1, 3), lambda w: source.contains(w)) for c in (name, client)]
+    given = [F.size(long(c)) > 0 for c in (name, client)]
+    n, k = (sum((x.cast("int") for x in xs), F.lit(0)) for xs in (given, found))
+    return F.when((n > 0) & (k == n), "MATCH").when(k >= 1, "PARTIAL").otherwise("MISSING")
+
+
 def field_score(work: Column, projects: Column, education: Column, gaps: Column) -> Column:
     """Weighted share of fields, weights 4, 2, 3 and 1."""
     return F.round((4 * work + 2 * projects + 3 * education + gaps) / 10, 4)
