@@ -18,6 +18,7 @@ SECTIONS = {
 COMPANY = r"pvt\.? ltd|ltd|inc|llc|llp|limited|corp(?:oration)?|technolog(?:ies|y)|solutions|systems|services|consulting|digital|labs|group|bank|infotech"
 TITLES = r"engineer|developer|manager|analyst|consultant|architect|lead|director|officer|designer|administrator|intern|trainee|specialist|associate|scientist|teacher|accountant"
 DEGREES = r"b\.?\s?tech|m\.?\s?tech|b\.?\s?e|b\.?\s?sc|m\.?\s?sc|b\.?\s?com|m\.?\s?com|mba|mca|bca|bachelor|master|ph\.?\s?d|diploma|degree|graduat(?:e|ed|ion)"
+INTERNSHIPS = "intern|internship"
 VERBS = r"developed|managed|designed|implemented|worked|led|created|built|responsible|maintained|supported|analy[sz]ed|tested|coordinated|delivered"
 STOP = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "you", "our", "will", "have", "has", "in", "of", "to", "on", "at", "by", "an", "as", "is", "or", "be")
 BULLETS = "•▪●○◦‣⁃∙■□▶►➢➤✓✔★☆"
@@ -154,7 +155,7 @@ def header_kind(line: Column) -> Column:
     t = F.trim(F.regexp_replace(F.lower(line), r"^[\s#*:\d.)(-]+|[\s#*:.-]+$", ""))
     out = F.lit(None).cast("string")
     for kind, names in reversed(SECTIONS.items()):
-        out = F.when(t.isin(*names), kind).otherwise(out)
+        out = F.when(t.rlike(f"^(?:{'|'.join(names)})$"), kind).otherwise(out)
     out = F.when(out.isNull() & t.rlike(r"^(?:professional|work|career|chronological)\s+(?:experience|history|timeline|journey)$"), "EXPERIENCE").otherwise(out)
     return F.when(F.size(F.split(t, r"\s+")) <= 8, out)
 
