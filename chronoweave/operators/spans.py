@@ -31,19 +31,24 @@ def normalised(text: Column) -> Column:
 
     The map is run-length coded: an array of structs (n, o), the lengths of a stretch in the new text and in the
     old one. A NUL becomes two letters, blanks become one, at the ends none; other runs keep their length."""
-    runs = F.regexp_extract_all(text, F.lit(f"({_RUNS})"), F.lit(1))
+    marks = F.translate(text, BULLETS, BULLETS[0] * len(BULLETS))
+    runs = F.regexp_extract_all(marks, F.lit(f"({_RUNS})"), F.lit(1))
 
-    def new(run: Column, edge: Column) -> Column:
-        return F.when(run == "\x00", "ti").when(run.rlike(r"^[ \t]"), F.when(edge, "").otherwise(" ")).otherwise(F.translate(run, BULLETS, BULLETS[0] * len(BULLETS)))
+    def piece(run: Column, last: Column, i: Column) -> Column:
+        blank = run.startswith(" ") | run.startswith("\t")
+        of = lambda t, n: F.struct(t.alias("t"), n.alias("n"), F.length(run).alias("o"))
+        edge = F.when((i == 0) | (i == last), of(F.lit(""), F.lit(0))).otherwise(of(F.lit(" "), F.lit(1)))
+        return F.when(blank, edge).when(run == "\x00", of(F.lit("ti"), F.lit(2))).otherwise(of(run, F.length(run)))
 
-    pieces = lambda r: F.transform(r, lambda run, i: F.struct(new(run, (i == 0) | (i == F.size(r) - 1)).alias("t"), F.length(run).alias("o")))
-    whole = lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["t"]), "").alias("text"), F.transform(p, lambda x: F.struct(F.length(x["t"]).alias("n"), x["o"].alias("o"))).alias("map"))
+    pieces = lambda r: F.transform(r, lambda run, i: piece(run, F.size(r) - 1, i))
+    whole = lambda p: F.struct(F.array_join(p["t"], "").alias("text"), F.transform(p, lambda x: F.struct(x["n"].alias("n"), x["o"].alias("o"))).alias("map"))
     return let(let(F.coalesce(runs, F.array().cast("array<string>")), pieces), whole)
 
 
 def to_original(map_: Column, start: Column, end: Column) -> Column:
     """struct(start, end) in the old text for a stretch of the new one, end exclusive. Inside a run that keeps its
-    length places are exact, inside others they are the run's ends."""
+    length places are exact, inside others they are the run's ends. Only the first and the last run of a map may be
+    empty in the new text, so as many runs as the stretch's end has letters, and two, hold all of it."""
     zero = F.from_json(F.lit('{"n":0,"o":0}'), "struct<n:int,o:int,start:int,end:int>")
 
     def step(a: Column, run: Column) -> Column:
@@ -53,7 +58,7 @@ def to_original(map_: Column, start: Column, end: Column) -> Column:
         last = a["o"] + F.when(kept, F.least(end - a["n"], run["n"])).otherwise(run["o"])
         return F.struct((a["n"] + run["n"]).alias("n"), (a["o"] + run["o"]).alias("o"), F.coalesce(a["start"], F.when(touched, first).cast("int")).alias("start"), F.when(touched, last.cast("int")).otherwise(a["end"]).alias("end"))
 
-    return F.aggregate(map_, zero, step, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end")))
+    return F.aggregate(F.slice(map_, 1, F.greatest(end, F.lit(0)) + 2), zero, step, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end")))
 
 
 def located(text: Column, value: Column) -> Column:

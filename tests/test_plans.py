@@ -25,3 +25,7 @@ def test_titles_and_kinds_of_odd_lines(spark):
     assert [r.h for r in got] == [None, "SKILLS", "SKILLS", "EXPERIENCE", "PROJECTS", None, None, None]
     assert [r.s for r in got] == [None, "SKILLS", "SKILLS", "EXPERIENCE", "PROJECTS", None, None, None]
     assert [r.p for r in got] == [False] * 7 + [None] and [r.e for r in got] == [True, True, False, False, True, False, False, None]
+
+
+def test_offset_maps_are_made_once(spark):
+    assert _plan(spark, "h20_offset_map").count("regexp_extract_all(") == 2
