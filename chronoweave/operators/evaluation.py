@@ -139,13 +139,15 @@ def unique_or_fail(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def term_cosine(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of term counts of each document and each query that share a term: (doc_id, query_id, cosine)."""
-    d = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    """Cosine of term counts of each document and each query that share a term: (doc_id, query_id, cosine).
+
+    Terms that are dealt out by doc_id stay where they are, as long as the queries' terms can be broadcast."""
+    d = terms.where("doc_id is not null").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    d = d.withColumn("dn", F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("doc_id"))))
     q = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("k"))
-    dn = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("dn"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("k") * F.col("k"))).alias("qn"))
-    dot = d.join(q, "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("c") * F.col("k")).alias("dot"))
-    return dot.join(dn, "doc_id").join(qn, "query_id").select("doc_id", "query_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("cosine"))
+    dot = d.join(q, "term").groupBy("doc_id", "dn", "query_id").agg(F.sum(F.col("c") * F.col("k")).alias("dot"))
+    return dot.join(qn, "query_id").select("doc_id", "query_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("cosine"))
 
 
 def skill_fit(have: Column, want: Column) -> tuple[Column, Column, Column]:

@@ -130,7 +130,10 @@ TOKENS = f"tk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(tex
 
 
 def terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+    """Whole texts are exchanged, before they become many rows, so that what is counted by document needs no more. A
+    given number of partitions isn't merged by the size of the texts, which is less than that of their terms."""
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
 
 
 @query("h18_tokens", f"WITH {TOKENS} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS kinds FROM tk GROUP BY 1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import lines as L
 from chronoweave.functions import text
+from chronoweave.operators import evaluation
 from chronoweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,15 @@ def test_titles_and_kinds_of_odd_lines(spark):
 
 def test_offset_maps_are_made_once(spark):
     assert _plan(spark, "h20_offset_map").count("regexp_extract_all(") == 2
+
+
+def test_cosines_exchange_each_document_once(spark):
+    plan = _plan(spark, "h53_term_cosine")
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_cosines_of_counts(spark):
+    terms = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "a")], "doc_id int, term string")
+    queries = spark.createDataFrame([("q", "a"), ("q", "c"), (None, "a")], "query_id string, term string")
+    got = {(r.doc_id, r.query_id): r.cosine for r in evaluation.term_cosine(terms, queries).collect()}
+    assert got == {(1, "q"): round(2 / (5 * 2) ** 0.5, 6), (2, "q"): round(1 / 2**0.5, 6)}
