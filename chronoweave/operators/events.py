@@ -155,24 +155,28 @@ def associate(mentions: DataFrame, entries: DataFrame | None = None) -> DataFram
     One range decides; of several, the first is likelier; without one, a single date or an ordered pair counts.
     A column in_entry tells whether the mention stands on a line of the entry itself (it does if there is no
     such column). Entries (entry_id) without a mention get a row without id.
+
+    Mentions are evaluated, exchanged and sorted once: entries go through the same window, after the mentions.
     """
     inside = F.col("in_entry") if "in_entry" in mentions.columns else F.lit(True)
-    w = Window.partitionBy("entry_id")
-    at = w.orderBy("ord")
-    m = mentions.withColumns({"ranges": F.sum(F.col("is_range").cast("int")).over(w), "n": F.count(F.lit(1)).over(w)})
-    m = m.withColumns({"range_no": F.sum(F.col("is_range").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)), "first_s": F.first("s").over(at), "last_e": F.last("e").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    kept = m.where("ranges = 0 or is_range")
-    pair = (F.col("n") == 2) & (F.col("first_s") <= F.col("last_e"))
+    m = mentions.withColumns({"__given": F.lit(True), "__range": F.col("is_range").cast("int")})
+    if entries is not None:
+        m = m.unionByName(entries.select("entry_id", F.lit(False).alias("__given")), allowMissingColumns=True)
+    at = Window.partitionBy("entry_id").orderBy(F.desc("__given"), "ord")
+    w = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bare = ~F.col("__given")
+    m = m.withColumns({
+        "ranges": F.sum("__range").over(w), "n": F.count_if(F.col("__given")).over(w), "range_no": F.sum("__range").over(at.rowsBetween(Window.unboundedPreceding, 0)),
+        "first_s": F.first("s").over(w), "second_e": F.nth_value("e", 2).over(w),
+    })
+    kept = m.where(F.when(bare, F.col("n") == 0).otherwise((F.col("ranges") == 0) | (F.col("__range") == 1)))
+    pair = (F.col("n") == 2) & (F.col("first_s") <= F.col("second_e"))
     ranges, alone = F.col("ranges"), F.col("n") == 1
     where = F.when(inside, SAME_LINE).otherwise(PROXIMITY)
-    status = F.when(ranges == 1, "CONFIRMED").when(ranges > 1, "AMBIGUOUS").when(alone | pair, "CONFIRMED").otherwise("AMBIGUOUS")
-    confidence = F.when(ranges == 1, 0.9).when(ranges > 1, F.when(F.col("range_no") == 1, 0.6).otherwise(0.5)).when(alone | pair, 0.85).otherwise(0.3)
-    reason = F.when(ranges == 1, where).when(ranges > 1, MULTI).when(alone, where).when(pair, PAIR).otherwise(NO_DATE)
-    out = kept.select("entry_id", "id", status.alias("status"), confidence.alias("confidence"), reason.alias("reason"))
-    if entries is None:
-        return out
-    bare = entries.select("entry_id").join(mentions.select("entry_id").distinct(), "entry_id", "left_anti")
-    return out.unionByName(bare.select("entry_id", F.lit("UNRESOLVED").alias("status"), F.lit(0.3).alias("confidence"), F.lit(NO_DATE).alias("reason")), allowMissingColumns=True)
+    status = F.when(bare, "UNRESOLVED").when(ranges == 1, "CONFIRMED").when(ranges > 1, "AMBIGUOUS").when(alone | pair, "CONFIRMED").otherwise("AMBIGUOUS")
+    confidence = F.when(bare, 0.3).when(ranges == 1, 0.9).when(ranges > 1, F.when(F.col("range_no") == 1, 0.6).otherwise(0.5)).when(alone | pair, 0.85).otherwise(0.3)
+    reason = F.when(bare, NO_DATE).when(ranges == 1, where).when(ranges > 1, MULTI).when(alone, where).when(pair, PAIR).otherwise(NO_DATE)
+    return kept.select("entry_id", "id", status.alias("status"), confidence.alias("confidence"), reason.alias("reason"))
 
 
 def deduplicate(events: DataFrame, literal: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import lines as L
 from chronoweave.functions import text
-from chronoweave.operators import evaluation
+from chronoweave.operators import evaluation, events
 from chronoweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,23 @@ def test_offset_maps_are_made_once(spark):
     assert _plan(spark, "h20_offset_map").count("regexp_extract_all(") == 2
 
 
+def test_association_reads_and_sorts_mentions_once(spark):
+    plan = _plan(spark, "k10_date_association")
+    assert plan.count("FileScan parquet") == 2 and plan.count("- Sort [") == 2
+    assert not any(x in plan for x in ("Join", "Partial"))
+
+
+def test_association_with_all_entries_given(spark):
+    rows = [(1, 1, False, 5, 6), (1, 2, False, 7, 7), (2, 1, False, 9, 9), (2, 2, False, 3, 4), (3, 1, True, 1, 2), (3, 2, True, 3, 4), (3, 3, False, 0, 0), (None, 1, False, 5, 5)]
+    mentions = spark.createDataFrame([(k, f"{k}:{o}", o, *more) for k, o, *more in rows], "entry_id int, id string, ord int, is_range boolean, s int, e int")
+    entries = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "entry_id int")
+    got = {(r.entry_id, r.id): (r.status, r.confidence, r.reason) for r in events.associate(mentions, entries).collect()}
+    assert got == {
+        (1, "1:1"): ("CONFIRMED", 0.85, events.PAIR), (1, "1:2"): ("CONFIRMED", 0.85, events.PAIR), (2, "2:1"): ("AMBIGUOUS", 0.3, events.NO_DATE), (2, "2:2"): ("AMBIGUOUS", 0.3, events.NO_DATE),
+        (3, "3:1"): ("AMBIGUOUS", 0.6, events.MULTI), (3, "3:2"): ("AMBIGUOUS", 0.5, events.MULTI), (None, "None:1"): ("CONFIRMED", 0.85, events.SAME_LINE), (4, None): ("UNRESOLVED", 0.3, events.NO_DATE),
+    }
+
+
 def test_cosines_exchange_each_document_once(spark):
     plan = _plan(spark, "h53_term_cosine")
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
