@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from chronoweave.functions import lines as L
-from chronoweave.functions import text
+from chronoweave.functions import labels, text
 from chronoweave.operators import evaluation, events
-from chronoweave.plans import registry
+from chronoweave.plans import documents, registry
+from chronoweave.sources.staging import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,16 @@ def test_cosines_of_counts(spark):
     queries = spark.createDataFrame([("q", "a"), ("q", "c"), (None, "a")], "query_id string, term string")
     got = {(r.doc_id, r.query_id): r.cosine for r in evaluation.term_cosine(terms, queries).collect()}
     assert got == {(1, "q"): round(2 / (5 * 2) ** 0.5, 6), (2, "q"): round(1 / 2**0.5, 6)}
+
+
+def test_documents_are_sorted_once_a_division_and_labelled_once_an_entry(spark):
+    docs = spark.createDataFrame([("a", "WORK EXPERIENCE\nEngineer, Blue Labs Ltd, Jan 2020 - Dec 2022\n• Built it")], "doc_id string, text string")
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    parted = documents.sections(documents.blocks(docs, 24321))
+    # lines in both orders of blocks() and sections(), then parts by headings, parts by jobs, sections
+    assert planned(parted).count("- Sort [") == 5
+    lines = documents.entries(staged(parted, "sections"))
+    # groups of both kinds of sections; none again for entries
+    assert planned(lines).count("Exchange hashpartitioning") == 2
+    # asked in four places of one expression
+    assert planned(documents.extract(staged(lines, "lines"))).count(labels._ROLE_AT_EMPLOYER) == 4
